@@ -66,21 +66,21 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     whole: documents are taken whole (a copy counts when at least half of it is within the target);
     otherwise the last document of each source is cut at the target. keep: columns to carry along as they are."""
+    name = F.col(source).cast("string")
     own = docs.select(
-        F.col(key).alias("_key"), size_of(F.col(text)).alias("size"), F.col(source).cast("string").alias("source"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("_order"),
+        F.col(key).alias("_key"), size_of(F.col(text)).alias("size"), F.coalesce(name, F.lit("")).alias("_source"), name.isNull().alias("_none"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("_order"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tie"), *[F.col(c).alias(f"_keep_{c}") for c in keep],
     )
     own = own.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
-    buckets = own.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    by = ["_source", "_none"]
+    buckets = own.groupBy(*by, "_bucket").agg(F.sum("size").alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    goals = targets(buckets.groupBy("source").agg(F.sum("_sum").alias("source_size")))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    a, b = starts.alias("a"), goals.alias("b")
-    offsets = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "_bucket", "_start", "source_size", "target", "tilt")
-    a, b = own.alias("a"), offsets.alias("b")
-    joined = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a._bucket") == F.col("b._bucket"))).select("a.*", "_start", "source_size", "target", "tilt")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_order", "_key", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = buckets.groupBy(*by).agg(F.sum("_sum").alias("source_size")).select(F.when(~F.col("_none"), F.col("_source")).alias("source"), "source_size")
+    goals = targets(sizes).select(F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_none"), "source_size", "target", "tilt")
+    # the window below uses the join's partitioning: the documents are shuffled once
+    joined = own.join(starts.join(goals, by), [*by, "_bucket"])
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_order", "_key", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = joined.withColumn("_at", F.col("_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     goal, at, size, full = F.round("target").cast("long"), F.col("_at"), F.col("size"), F.col("source_size")
     if whole:
@@ -93,7 +93,7 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     when = lambda e: F.round(position((at + full * e).cast("double"), F.col("target"), F.col("tilt")), 9)
     last = when(F.col("copies") - 1)
     return out.select(
-        F.col("_key").alias(key), "size", "source", "source_size", "target", "taken", "copies", F.when(F.col("copies") > 0, when(F.lit(0))).alias("first_position"), F.when(F.col("copies") > 0, last).alias("last_position"),
+        F.col("_key").alias(key), "size", F.when(~F.col("_none"), F.col("_source")).alias("source"), "source_size", "target", "taken", "copies", F.when(F.col("copies") > 0, when(F.lit(0))).alias("first_position"), F.when(F.col("copies") > 0, last).alias("last_position"),
         *[F.col(f"_keep_{c}").alias(f"kept_{c}") for c in keep],
     )
 
