@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digest, jaccard, langid, mixing, planes, quality
+from . import bpe, digest, embed, jaccard, langid, mixing, planes, quality
 from .shared import table
 
 
@@ -27,6 +27,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -47,6 +51,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.with_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_quality, op5_jaccard_join, op6_binary_ids, op8_bpe, op9_language, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_quality, op4_near_vectors, op5_jaccard_join, op6_binary_ids, op8_bpe, op9_language, op10_fingerprints)}
 
 ORACLE_SQL: dict[str, str] = {}
