@@ -206,9 +206,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             found = block_links(a, None if i == j else b, t, k, sets, threshold)
             if found:
                 sig, n, forest = found
-                out[0] += sig.tolist()
-                out[1] += [None] * len(sig)
-                out[2] += n.tolist()
+                out[0].extend(sig.tolist())
+                out[1].extend([None] * len(sig))
+                out[2].extend(n.tolist())
                 for x, y in forest:
                     out[0].append(x)
                     out[1].append(y)
