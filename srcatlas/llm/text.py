@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A slice of a batch holds at most so many bytes of text (one longer document stands alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _R = U64(0x9E3779B97F4A7C15 | 1)
 _R_INV = U64(pow(int(_R), -1, 1 << 64))
