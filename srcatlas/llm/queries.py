@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digest, embed, jaccard, langid, mixing, planes, quality
+from . import bpe, digest, embed, html, jaccard, langid, mixing, planes, quality
 from .shared import table
 
 
@@ -39,6 +39,10 @@ def op6_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -51,6 +55,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.with_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_quality, op4_near_vectors, op5_jaccard_join, op6_binary_ids, op8_bpe, op9_language, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_quality, op4_near_vectors, op5_jaccard_join, op6_binary_ids, op7_main_text, op8_bpe, op9_language, op10_fingerprints)}
 
 ORACLE_SQL: dict[str, str] = {}
