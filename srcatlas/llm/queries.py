@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digest, embed, html, jaccard, langid, mixing, planes, quality
+from . import bpe, digest, embed, html, jaccard, langid, lm, mixing, planes, quality
 from .shared import table
 
 
@@ -23,6 +23,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.with_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_quality, op4_near_vectors, op5_jaccard_join, op6_binary_ids, op7_main_text, op8_bpe, op9_language, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_lm_scores, op3_quality, op4_near_vectors, op5_jaccard_join, op6_binary_ids, op7_main_text, op8_bpe, op9_language, op10_fingerprints)}
 
 ORACLE_SQL: dict[str, str] = {}
