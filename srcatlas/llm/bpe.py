@@ -24,9 +24,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import prepared
+from .shared import prepared, typed
 from .text import buffers, byte_codes, ragged, row_starts, slices, span_hashes
 
 #: Slots of a worker's word table, and how many ids its pool holds before it starts anew.
@@ -236,8 +237,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "token
             column = pa.ListArray.from_arrays(pa.array(row_starts(counts), pa.int32()), pa.array(np.concatenate([i for i, _ in parts])))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), column], [*names, ids])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != ids), f"`{ids}` array<int>"])
-    return df.select(*[f"`{n}`" for n in names]).mapInArrow(run, schema)
+    return df.select(*[f"`{n}`" for n in names]).mapInArrow(run, typed(df, tuple(names), f"`{ids}` array<int>"))
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -248,13 +248,12 @@ def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", text: str = "de
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            counts = np.array([len(x or ()) for x in lists], np.int64)
-            flat = np.array([i for x in lists for i in x or ()], np.int64)
+            lists = batch.column(batch.schema.get_field_index(ids))
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            flat = lists.flatten().to_numpy()
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(list(enc.decode(flat, counts)), pa.string())], [*names, text])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text), f"`{text}` string"])
-    return df.select(*[f"`{n}`" for n in names]).mapInArrow(run, schema)
+    return df.select(*[f"`{n}`" for n in names]).mapInArrow(run, typed(df, tuple(names), f"`{text}` string"))
 
 
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,5 +277,4 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
                     [key, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(f"`{key}`", f"`{text}`").mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(f"`{key}`", f"`{text}`").mapInArrow(run, typed(df, (key,), "n_tokens long, ids_sha256 string, decoded_sha256 string"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import prepared, written
+from .shared import prepared, typed, written
 from .text import SLICE_BYTES, buffers, slices
 
 BUCKETS, CAP = 128, 240.0
@@ -109,8 +109,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             found = hex_of(of_texts([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(found, pa.string())], [*names, "fingerprint"])
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "fingerprint string"]))
+    return docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, typed(docs, tuple(names), "fingerprint string"))
 
 
 def edited(a: str, b: str) -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepared
+from .shared import prepared, typed
 
 #: Most labelled pages, on average, that weights are learned from; how many counts the prior is worth.
 SAMPLE, TRUST = 2000, 500.0
@@ -262,5 +262,4 @@ def extract(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tu
             texts = [main_text(p, weights) for p in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
-    kinds = dict(pages.dtypes)
-    return pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html)).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "text string, n_chars long"]))
+    return pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html)).mapInArrow(run, typed(pages, keep, "text string, n_chars long"))

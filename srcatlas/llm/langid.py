@@ -14,7 +14,6 @@ rows every document is `und`. Rows repeat as they come.
 
 from __future__ import annotations
 
-import unicodedata  # noqa: F401  (tables of bpe)
 from functools import cache
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import char_kinds
-from .shared import prepared
+from .shared import prepared, typed
 from .text import SLICE_BYTES, buffers, mix, row_starts, slices
 
 #: Length of profiles and of documents' lists.
@@ -79,7 +78,6 @@ def gram_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         one, two = low[:-1], low[1:]
         keys = [(row[1:-1][low[1:-1] > 0], low[1:-1][low[1:-1] > 0])]
         pair = (one > 0) | (two > 0)
-        inside = np.maximum(row[:-1], row[1:])  # a mark belongs to the row before it
         inside = np.where(one > 0, row[:-1], row[1:])
         keys.append((inside[pair], (one[pair] << np.uint64(21)) | two[pair] | np.uint64(1 << 62)))
         mid = low[1:-1] > 0
@@ -173,8 +171,7 @@ def identify(docs: DataFrame, known: Profiles, text: str = "text", keep: tuple[s
                     score = np.where(has, np.clip((second - order[:, 0]) / np.maximum(second, 1e-12), 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, n) for k in range(batch.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score), pa.array(best)], [*keep, "lang_pred", "score", "distance"])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double, distance double"])
+    schema = typed(docs, keep, "lang_pred string, score double, distance double")
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text)).mapInArrow(run, schema)
 
 

@@ -69,7 +69,7 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     name = F.col(source).cast("string")
     own = docs.select(
         F.col(key).alias("_key"), size_of(F.col(text)).alias("size"), F.coalesce(name, F.lit("")).alias("_source"), name.isNull().alias("_none"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("_order"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tie"), *[F.col(c).alias(f"_keep_{c}") for c in keep],
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tie"), *[F.col(f"`{c}`").alias(f"_keep_{k}") for k, c in enumerate(keep)],
     )
     own = own.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
     by = ["_source", "_none"]
@@ -94,7 +94,7 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     last = when(F.col("copies") - 1)
     return out.select(
         F.col("_key").alias(key), "size", F.when(~F.col("_none"), F.col("_source")).alias("source"), "source_size", "target", "taken", "copies", F.when(F.col("copies") > 0, when(F.lit(0))).alias("first_position"), F.when(F.col("copies") > 0, last).alias("last_position"),
-        *[F.col(f"_keep_{c}").alias(f"kept_{c}") for c in keep],
+        *[f"_keep_{k}" for k in range(len(keep))],
     )
 
 
@@ -110,4 +110,5 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     planned = plan(docs, key, text, source, whole=True, keep=tuple(names))
     copies = planned.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     at = F.when(F.col("_copy") == 0, F.col("first_position")).otherwise(F.col("last_position"))
-    return copies.withColumn("_position", at).repartitionByRange("_position", key).sortWithinPartitions("_position", key).select(*[F.col(f"kept_{c}").alias(c) for c in names])
+    order = [F.col("_position"), F.col(f"`{key}`")]
+    return copies.withColumn("_position", at).repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"_keep_{k}").alias(c) for k, c in enumerate(names)])

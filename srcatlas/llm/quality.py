@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepared
+from .shared import prepared, typed
 from .text import SLICE_BYTES, buffers, row_starts, slices, word_hashes
 
 #: Most rows, on average, that the scorer is trained on; width of its hashed features.
@@ -245,6 +245,5 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tup
                 good = np.where(counts > 0, labels.of(pattern(votes(counts, m))), 0.0)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in range(batch.num_columns - 1)), pa.array(counts), pa.array(good), pa.array(score), pa.array(score >= 0.5)], [*keep, "n_words", "posterior", "score", "kept"])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_words long, posterior double, score double, kept boolean"])
+    schema = typed(docs, keep, "n_words long, posterior double, score double, kept boolean")
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text)).mapInArrow(run, schema)

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Bounds of one Arrow batch, so that long documents cannot fill a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
@@ -41,10 +42,6 @@ def deleted(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def path_of(df: DataFrame) -> str:
-    return os.path.dirname(df.inputFiles()[0]) if df.inputFiles() else ""
-
-
 def prepared(spark: SparkSession) -> None:
     """Bounds Arrow batches and lets executors import this package where PYTHONPATH does not name it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -64,5 +61,10 @@ def prepared(spark: SparkSession) -> None:
     sc.addPyFile(out)
 
 
+def typed(df: DataFrame, keep: tuple[str, ...], more: str) -> StructType:
+    """The schema of df's columns `keep` followed by those of a DDL string."""
+    return StructType([df.schema[c] for c in keep] + StructType.fromDDL(more).fields)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
