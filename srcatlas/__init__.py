@@ -1,0 +1 @@
+"""Analytics of source-code and document corpora on Spark."""
