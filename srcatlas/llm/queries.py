@@ -61,4 +61,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_lm_scores, op3_quality, op4_near_vectors, op5_jaccard_join, op6_binary_ids, op7_main_text, op8_bpe, op9_language, op10_fingerprints)}
 
-ORACLE_SQL: dict[str, str] = {}
+_OP1 = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(coalesce(doc_id::varchar, '')) as o from documents),
+s as (select source, sum(size) as source_size, row_number() over (order by source nulls last) as r from d group by source),
+w as (select *, [5.0, 2.0, 1.0][(r - 1) % 3 + 1]::double as weight, [0.5, 0.0, -0.5][(r - 1) % 3 + 1]::double as tilt, source_size * 2 as most from s),
+l as (select *, (sum(source_size) over () * 1.5::double - coalesce(sum(most) over (order by most / weight, r rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by most / weight, r rows between current row and unbounded following) as level from w),
+v as (select (array_agg(level order by most / weight, r) filter (where level * weight <= most))[1] as level from l),
+t as (select l.source, source_size, tilt, least(most::double, coalesce(weight * v.level, most::double)) as target from l, v),
+p as (select d.*, t.source_size, t.tilt, t.target, round(t.target)::bigint as goal, coalesce(sum(size) over (partition by d.source order by o, doc_id rows between unbounded preceding and 1 preceding), 0) as place from d join t on d.source is not distinct from t.source),
+k as (select *, greatest(0, least(size, goal - place)) as a, greatest(0, least(size, goal - source_size - place)) as b from p),
+c as (select *, (a > 0)::int + (b > 0)::int as copies from k),
+y as (select *, case when target > 0 then least(place / target, 1.0) else 0.0 end as y0, case when target > 0 then least((place + source_size * (copies - 1)) / target, 1.0) else 0.0 end as y1 from c)
+select doc_id, size::bigint as size, source, source_size::bigint as source_size, round(target, 4) as target, (a + b)::bigint as taken, copies,
+case when copies > 0 then round(2 * y0 / ((1 + tilt) + sqrt(greatest((1 + tilt) * (1 + tilt) - 4 * tilt * y0, 0))), 6) end as first_position,
+case when copies > 0 then round(2 * y1 / ((1 + tilt) + sqrt(greatest((1 + tilt) * (1 + tilt) - 4 * tilt * y1, 0))), 6) end as last_position
+from y
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": _OP1}
