@@ -8,9 +8,12 @@ order; fragments' partial overlaps are counted separately and summed per pair.
    equal in both. Sizes fall in bands (the smaller of a pair is in the larger's
    band or the one below), each band with its number of fragments; the row
    (band, fragment, content) of every non-empty fragment meets its equals in a
-   sorted exchange, which emits one star per group of equals: as many rows as
+   sorted exchange. In the order of how many sets share a fragment, the first that
+   a pair shares is among the first d + 1 of both: only these make candidates, so
+   fragments of passages that many documents share drop out of documents that
+   have enough of their own. A star joins the sets of a fragment: as many rows as
    members, never their pairs. A set with too few non-empty fragments for the
-   argument also emits its empty ones.
+   argument also sends its empty ones, and keeps all.
 2. Documents that a star connects form candidate groups. Only their sets travel.
 3. Within a group, blocks of at most BLOCK sets meet pairwise. Block by block the
    order is cut into fragments, the partial overlaps of all pairs in a fragment
@@ -33,14 +36,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .graph import components
 from .shared import prepared, written
 from .text import U64, buffers, mix, ragged, row_starts, signed, slices, word_hashes
 
-#: Sets in a block; n-grams' share of the order that is counted at a time within a block pair.
-BLOCK, COUNTED = 512, 8
-_BAND = 1.12
+#: Sets and n-grams in a block; fragments of the order that are counted one after the other in a block pair.
+BLOCK, BLOCK_GRAMS, COUNTED = 1024, 1_000_000, 8
+#: Rows of one fragment that a task holds; the number of sets that a fragment with more counts as having.
+HELD, HUGE = 1 << 20, 1 << 40
+#: The low bits of a set's hash are 0; a fragment's row has there whether it stands in the band above its own.
+_LOW = U64(3)
 
 
 def set_hashes(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,29 +84,29 @@ def signatures(g: np.ndarray, counts: np.ndarray) -> np.ndarray:
     edges = row_starts(counts)
     total = np.concatenate([[U64(0)], np.cumsum(mix(g ^ U64(0x5851F42D4C957F2D)))])
     s = mix((total[edges[1:]] - total[edges[:-1]]) + counts.astype(U64) * U64(0x2545F4914F6CDD1D))
-    return np.where(counts > 0, np.maximum(s, U64(1)), U64(0))
+    return np.where(counts > 0, np.maximum(s & ~_LOW, U64(4)), U64(0))
 
 
-def band_of(size: np.ndarray) -> np.ndarray:
-    """Bands of sizes; the quotient of neighbouring bounds is below 1 / threshold."""
-    return np.floor(np.log(np.maximum(size, 1)) / np.log(_BAND) + 1e-9).astype(np.int64)
+def band_of(size: np.ndarray, percent: int) -> np.ndarray:
+    """Bands of sizes: bounds grow by 1 / threshold, so a pair is in one band or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(size, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
 
 
-def fragments_of(band: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(most n-grams that a linked pair of the band differs in, number of fragments)."""
-    top = np.ceil(_BAND ** (band + 1) + 1e-6)
-    differ = np.floor((100 - percent) * 2 * top / (100 + percent) + 1e-9).astype(np.int64)
-    return differ, np.ceil(differ * 1.15).astype(np.int64) + 2
+def most_differing(band: np.ndarray, percent: int) -> np.ndarray:
+    """Most n-grams that a linked pair differs in whose larger set is in the band."""
+    top = np.ceil((100 / percent) ** (band + 1) + 1e-6)
+    return np.floor((100 - percent) * 2 * top / (100 + percent) + 1e-9).astype(np.int64)
 
 
-def fragment_keys(g: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every fragment that has to meet its equals."""
-    out_row, out_key = [], []
-    edges, own = row_starts(counts), band_of(counts)
-    steps = int(np.ceil(np.log(100 / percent) / np.log(_BAND)))
-    for up in range(steps + 1):  # as the larger of a pair, or as the smaller below larger ones
+def fragment_keys(g: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, step, key, quota, sent) of every fragment that has to meet its equals. step: 0 in the set's own band,
+    1 in the one above. quota: how many of the set's fragments, rarest first, make candidates; sent: how many it sends."""
+    out: list[tuple[np.ndarray, ...]] = []
+    edges, own = row_starts(counts), band_of(counts, percent)
+    for up in (0, 1):  # as the larger of a pair, or as the smaller below larger ones
         band = own + up
-        differ, pieces = fragments_of(band, percent)
+        differ = most_differing(band, percent)
+        pieces = np.ceil(differ * 1.15).astype(np.int64) + 2
         # sets that differ in nothing are equal, and those are one node already
         rows = np.flatnonzero((counts > 0) & (differ > 0))
         if not len(rows):
@@ -111,16 +118,22 @@ def fragment_keys(g: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.n
         new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (f[1:] != f[:-1])))
         content = np.add.reduceat(mix(grams ^ U64(0x8CB92BA72F3D8DD7)), new)
         place = mix(band[rows][at[new]].astype(U64) * U64(1 << 32) + f[new] + U64(0x7F4A7C15))
-        out_row.append(rows[at[new]])
-        out_key.append(mix(content + place))
         filled = np.bincount(at[new], minlength=len(rows))
-        for r in np.flatnonzero(filled <= differ[rows]):
+        few = filled <= differ[rows]
+        quota = np.where(few, pieces[rows], differ[rows] + 1)
+        sent = np.where(few, pieces[rows], filled)
+
+        def put(local: np.ndarray, keys: np.ndarray, rows=rows, up=up, quota=quota, sent=sent) -> None:
+            out.append((rows[local], np.full(len(local), up), keys, quota[local], sent[local]))
+
+        put(at[new], mix(content + place))
+        for r in np.flatnonzero(few):
             gone = np.setdiff1d(np.arange(pieces[rows[r]], dtype=U64), f[new][at[new] == r])
-            out_row.append(np.full(len(gone), rows[r]))
-            out_key.append(mix(mix(band[rows[r]].astype(U64) * U64(1 << 32) + gone + U64(0x7F4A7C15)) ^ U64(0xE7037ED1A0B428DB)))
-    if not out_row:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    return np.concatenate(out_row), np.concatenate(out_key)
+            put(np.full(len(gone), r), mix(mix(band[rows[r]].astype(U64) * U64(1 << 32) + gone + U64(0x7F4A7C15)) ^ U64(0xE7037ED1A0B428DB)))
+    if not out:
+        z = np.zeros(0, np.int64)
+        return z, z, z.view(U64), z, z
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(5))
 
 
 def linked_forest(ids_a: np.ndarray, sets_a: list[np.ndarray], ids_b: np.ndarray, sets_b: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -215,31 +228,71 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
             data, offsets = buffers(batch.column(0))
             for _, _, d, o in slices(data, offsets):
                 g, counts = set_hashes(d, o, n)
-                row, k = fragment_keys(g, counts, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(signed(signatures(g, counts)[row]))], ["k", "sig"])
+                row, step, k, quota, sent = fragment_keys(g, counts, percent)
+                sig = signatures(g, counts)[row] | step.astype(U64)
+                # quota and sent are functions of the set; they travel as their difference, and only matter where fragments meet
+                yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(signed(sig)), pa.array((sent - quota).astype(np.int32))], ["k", "sig", "spare"])
+
+    fragments = own.select("_text").mapInArrow(keys, "k long, sig long, spare int")
 
-    fragments = own.select("_text").mapInArrow(keys, "k long, sig long")
+    def shared(batches):
+        """Rows of fragments that two or more sets have, with the number of these sets, repeated sets once. At most
+        HELD rows of a fragment are held: a larger one counts as HUGE, and its rows go on as they come."""
+        held_k, held, size, last_sig = None, [], 0, None
+
+        def rows_of(parts, freq):
+            rows = np.concatenate(parts)
+            return np.column_stack([np.full(len(rows), held_k), rows, np.full(len(rows), freq)])
+
+        def done():
+            if not held:
+                return None
+            sets = len(np.unique(np.concatenate([h[:, 0] for h in held]) & ~3))
+            return rows_of(held, sets) if sets > 1 else None
 
-    def stars(batches):
-        last_k = centre = last = None
         for batch in batches:
-            k, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            k, rows = batch.column(0).to_numpy(), np.column_stack([batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64)])
             if not len(k):
                 continue
-            head = np.append(last_k is None or k[0] != last_k, k[1:] != k[:-1])
-            at = np.flatnonzero(head)
-            group = np.cumsum(head)
-            centres = np.concatenate([[centre if centre is not None else 0], sig[at]])[group]
-            fresh = np.append(head[0] or sig[0] != last, head[1:] | (sig[1:] != sig[:-1]))
-            keep = fresh & (sig != centres)
-            last_k, centre, last = k[-1], centres[-1], sig[-1]
-            a, b = sig[keep], centres[keep]
-            if len(a):
-                pair = np.unique(np.stack([a, b], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-
-    meet = fragments.repartition("k").sortWithinPartitions("k", "sig").mapInArrow(stars, "a long, b long")
-    groups = written(components(meet.distinct()).select(F.col("node").alias("sig"), F.col("component").alias("grp")), "groups")
+            fresh = np.append(True, (k[1:] != k[:-1]) | (rows[1:, 0] != rows[:-1, 0]))
+            k, rows = k[fresh], rows[fresh]
+            starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            ends, out = np.append(starts[1:], len(k)), []
+            # runs of one row, which are nearly all, need no look unless they touch the batch's edges
+            for j in np.unique(np.concatenate([[0, len(starts) - 1], np.flatnonzero(ends - starts > 1)])):
+                part = rows[starts[j] : ends[j]]
+                if k[starts[j]] != held_k:
+                    out.append(done())
+                    held_k, held, size, last_sig = k[starts[j]], [], 0, None
+                elif part[0, 0] == last_sig:
+                    part = part[1:]
+                if not len(part):
+                    continue
+                last_sig = part[-1, 0]
+                size += len(part)
+                if size <= HELD:
+                    held.append(part)
+                else:
+                    out.append(rows_of([*held, part], HUGE))
+                    held = []
+            found = [o for o in out if o is not None]
+            if found:
+                yield named(np.concatenate(found))
+        rest = done()
+        if rest is not None:
+            yield named(rest)
+
+    def named(rows):
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(rows[:, 3])], ["k", "sig", "spare", "freq"])
+
+    met = fragments.repartition("k").sortWithinPartitions("k", "sig").mapInArrow(shared, "k long, sig long, spare long, freq long")
+    own_order = Window.partitionBy("sig").orderBy("freq", "k")
+    ranked = met.withColumn("rank", F.row_number().over(own_order)).withColumn("n", F.count("*").over(Window.partitionBy("sig")))
+    # fragments that no other set has come first and make no candidates: of n shared ones, n - spare are left
+    kept = written(ranked.where(F.col("rank") <= F.col("n") - F.col("spare")).select("k", F.col("sig").bitwiseAND(F.lit(~3)).alias("sig")), "candidates")
+    centres = kept.groupBy("k").agg(F.min("sig").alias("b"), F.max("sig").alias("_top")).where("b <> _top").select("k", "b")
+    stars = kept.join(centres, "k").where("sig <> b").select(F.col("sig").alias("a"), "b").distinct()
+    groups = written(components(stars).select(F.col("node").alias("sig"), F.col("component").alias("grp")), "groups")
 
     # one document for each set that is in a group; its text is read again
     chosen = table.join(groups, "sig").groupBy("sig").agg(F.min(F.struct(F.col("_key").isNull(), "_key")).alias("k"), F.first("grp").alias("grp"), F.first("n_shingles").alias("n_shingles")).select("sig", "grp", "n_shingles", F.col("k._key").alias("_key"))
@@ -269,8 +322,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
 
 
 def _numbered(placed: DataFrame) -> DataFrame:
-    """placed (sig, grp) with the number i of its block in its group: hash buckets are counted first, so that a
-    group of any size is numbered without a task that holds it; a block has at most about BLOCK sets."""
-    counts = placed.groupBy("grp").agg(F.count("*").alias("m"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
+    """placed (sig, grp, n_shingles) with the number i of its block in its group, by hash: a group of any size is
+    numbered without a task that holds it."""
+    counts = placed.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("grams"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     return placed.join(counts, "grp").select("sig", "grp", F.pmod(F.xxhash64("sig"), blocks).cast("int").alias("i"))
