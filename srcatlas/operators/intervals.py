@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from ..functions import paths
@@ -72,7 +73,7 @@ def block_end(lines: list[str], start: int) -> int:
     return min(start + FALLBACK_LINES, len(lines) - 1)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _block_ends(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for lines, anchors in batches:
         yield pd.Series([[block_end(list(x), int(a)) for a in s] for x, s in zip(lines, anchors)])

@@ -12,6 +12,7 @@ from ..config import Settings
 from ..functions import roles
 from ..operators import intervals, modules, references, unions
 from ..sources import tree
+from ..sources.scratch import cut
 from ..sources.store import Files
 
 EMPTY = {"base_files": [], "exemplar_module": None, "exemplar_files": [], "user_additions": [], "user_removals": [], "last_updated": None}
@@ -43,8 +44,8 @@ class Context:
     def build(self, parsed: DataFrame, build_modules: DataFrame, platform: dict) -> dict:
         """Fan-in, exemplar, its dependencies and supertypes, and the user's choices, as one document."""
         s, had = self.settings, self.load()
-        index = references.SymbolIndex(references.file_models(parsed).persist())
-        fan_in = references.fan_in(index, s.mandatory_max_base_files, s.mandatory_fan_in_threshold, s.mandatory_contract_min_ratio).persist()
+        index = references.SymbolIndex(cut(references.file_models(parsed), "models"))
+        fan_in = cut(references.fan_in(index, s.mandatory_max_base_files, s.mandatory_fan_in_threshold, s.mandatory_contract_min_ratio))
         language = next(iter(platform["languages"]), None)
         exemplar, chosen = None, []
         if language:
@@ -55,7 +56,7 @@ class Context:
             candidates = features.select("path")
             if s.exemplar_module.strip("/"):
                 candidates = candidates.unionByName(self.spark.createDataFrame([(s.exemplar_module.strip("/"),)], "path string"))
-            best = modules.best_exemplar(modules.score_modules(sized, candidates, language), s.exemplar_module).persist()
+            best = cut(modules.best_exemplar(modules.score_modules(sized, candidates, language), s.exemplar_module))
             found = best.first()
             if found is not None:
                 exemplar = found.module_path
@@ -64,19 +65,17 @@ class Context:
         parts = [fan_in]
         if chosen and s.mandatory_include_exemplar_deps:
             seeds = self.spark.createDataFrame([(p,) for p in chosen], "file_path string")
-            parts.append(references.exemplar_dependencies(index, seeds, max_results=s.mandatory_max_contract_files).drop("level").persist())
+            parts.append(cut(references.exemplar_dependencies(index, seeds, max_results=s.mandatory_max_contract_files).drop("level")))
         seeds = parts[0].select("file_path")
         for p in parts[1:]:
             seeds = seeds.unionByName(p.select("file_path"))
-        parts.append(references.supertype_closure(index, seeds.distinct(), s.mandatory_supertype_depth, s.mandatory_max_contract_files).drop("level").persist())
+        parts.append(cut(references.supertype_closure(index, seeds.distinct(), s.mandatory_supertype_depth, s.mandatory_max_contract_files).drop("level")))
         base = unions.base_files(
             parts, index.files, self._paths(had["user_removals"]), self._paths(had["user_additions"]), self._paths([b for b in had["base_files"] if b.get("confirmed")]), s.preferred_module_prefix,
         )
         names = ["file_path", "source", "role", "fan_in", "confidence", "confirmed"]
         data = had | {"base_files": [r.asDict() for r in base.select(*names).collect()], "exemplar_module": exemplar, "exemplar_files": chosen}
         self.save(data)
-        for p in [index.files, *parts]:
-            p.unpersist()
         return data
 
     def sections(self, with_exemplar: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from ..config import Settings
 from ..functions import paths
 from ..operators import chunking, delta, embed
 from ..sources import git, tree
+from ..sources.scratch import cut
 from ..sources.store import Store
 
 
@@ -73,11 +74,11 @@ class Index:
             if change.head_changed:
                 self._mark(commit=head)
             return change
-        touched = ops.where("op <> 'keep'").persist()
+        touched = cut(ops.where("op <> 'keep'"), "touched")
         if context:
             change.context_changed = bool(touched.where(F.col("file_path").isin(context)).limit(1).count())
         fresh = current.join(touched.where("op <> 'remove'"), "file_path", "left_semi").select("file_path", "content_bytes", "content")
-        parsed, chunks, registry = self.processed(fresh)
+        parsed, chunks, registry = self.processed(cut(fresh, "fresh"))
         old = {n: self.store.read(n) for n in ("parsed", "chunks", "registry")}
         new = {"parsed": parsed, "chunks": chunks, "registry": registry}
         failed = parsed.where("error is not null").select("file_path")
@@ -86,7 +87,6 @@ class Index:
         new["registry"] = registry.where(~F.col("file_path").isin(change_failed)) if change_failed else registry
         dirty = git.dirty(self.settings.repo_path, extensions, self.settings) if self.settings.reindex_dirty else []
         self.store.commit({n: delta.replaced(old[n], new[n], touched) for n in new}, commit=head, dirty=dirty, failed=change_failed)
-        touched.unpersist()
         change.failed = len(change_failed)
         return change
 

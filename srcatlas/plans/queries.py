@@ -134,8 +134,8 @@ def closure_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with recursive r as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as i,
-      sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows unbounded preceding)::int as e, l_quantity::int as q from lineitem),
+    """with recursive r as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as i,
+      sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows unbounded preceding)::int as e, l_quantity::int as q from lineitem),
     f as (select k, i, e - q + 1 as s, e, 0 as c from r where i = 1
       union all select r.k, r.i, case when r.e - f.s + 1 <= 60 then f.s else r.e - r.q + 1 end, r.e, case when r.e - f.s + 1 <= 60 then f.c else f.c + 1 end from f join r on r.k = f.k and r.i = f.i + 1)
     select k as l_orderkey, c as chunk_index, min(s) as start_line, max(e) as end_line, count(*) as n_ranges from f group by k, c"""
@@ -279,10 +279,10 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select l_orderkey, count(*) as n, round(max(running), 2) as used from (select l_orderkey, sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows unbounded preceding) as running from lineitem) where running <= 100 group by l_orderkey"""
+    """select l_orderkey, count(*) as n, round(max(running), 2) as used from (select l_orderkey, sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows unbounded preceding) as running from lineitem) where running <= 100 group by l_orderkey"""
 )
 def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = intervals.budget_prefix(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], F.col("l_quantity"), 100.0)
+    kept = intervals.budget_prefix(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], F.col("l_quantity"), 100.0)
     return kept.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.max("running"), 2).alias("used"))
 
 

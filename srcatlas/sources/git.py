@@ -32,7 +32,7 @@ def in_scope(path: str, settings: Settings) -> bool:
 
 def changed(root: str, since: str, extensions: list[str]) -> list[str] | None:
     """Paths that differ between a commit and HEAD; None if git cannot tell."""
-    out = _run(root, ["diff", "--name-only", "-z", since, "HEAD"], 30)
+    out = _run(root, ["diff", "--no-renames", "--name-only", "-z", since, "HEAD"], 30)
     return None if out is None else sorted(p for p in out.split("\0") if os.path.splitext(p)[1] in extensions)
 
 
