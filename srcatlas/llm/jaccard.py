@@ -18,7 +18,7 @@ order; fragments' partial overlaps are counted separately and summed per pair.
 3. Within a group, blocks of at most BLOCK sets meet pairwise. Block by block the
    order is cut into fragments, the partial overlaps of all pairs in a fragment
    are counted with one sparse product, and the sums decide with integers. Only
-   a spanning forest of the links leaves a block pair.
+   edges that connect the same sets leave a block pair, one per set.
 4. Components of the links; equal sets (same hash of the whole set) are one node.
 
 No candidate is dropped and no group is collected in one task: a group of m sets
@@ -43,7 +43,7 @@ from .shared import prepared, written
 from .text import U64, buffers, mix, ragged, row_starts, signed, slices, word_hashes
 
 #: Sets and n-grams in a block; fragments of the order that are counted one after the other in a block pair.
-BLOCK, BLOCK_GRAMS, COUNTED = 1024, 1_000_000, 8
+BLOCK, BLOCK_GRAMS, COUNTED = 512, 500_000, 8
 #: Rows of one fragment that a task holds; the number of sets that a fragment with more counts as having.
 HELD, HUGE = 1 << 20, 1 << 40
 #: The low bits of a set's hash are 0; a fragment's row has there whether it stands in the band above its own.
@@ -136,12 +136,12 @@ def fragment_keys(g: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.n
     return tuple(np.concatenate([o[k] for o in out]) for k in range(5))
 
 
-def linked_forest(ids_a: np.ndarray, sets_a: list[np.ndarray], ids_b: np.ndarray, sets_b: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two blocks (or within one, given twice)."""
+def linked_forest(ids_a: np.ndarray, sets_a: list[np.ndarray], ids_b: np.ndarray, sets_b: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the links between two blocks (or within one, given twice) connect."""
     size_a, size_b = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
     flat_a, flat_b = np.concatenate(sets_a), np.concatenate(sets_b)
     row_a, row_b = np.repeat(np.arange(len(sets_a)), size_a), np.repeat(np.arange(len(sets_b)), size_b)
-    overlap = np.zeros(len(sets_a) * len(sets_b), np.int64)
+    overlap = np.zeros(len(sets_a) * len(sets_b), np.int32)
     part_a, part_b = flat_a >> U64(61), flat_b >> U64(61)  # COUNTED fragments of the order
     for f in range(COUNTED):
         in_a, in_b = part_a == f, part_b == f
@@ -152,28 +152,31 @@ def linked_forest(ids_a: np.ndarray, sets_a: list[np.ndarray], ids_b: np.ndarray
         n = hi - lo
         done, edges = 0, row_starts(n)
         while done < len(x):  # so many partial overlaps at a time
-            stop = max(done + 1, int(np.searchsorted(edges, edges[done] + 2_000_000, "right")) - 1)
+            stop = max(done + 1, int(np.searchsorted(edges, edges[done] + 500_000, "right")) - 1)
             pair = np.repeat(ra[done:stop], n[done:stop]) * len(sets_b) + ragged(rb, lo[done:stop], n[done:stop])
-            overlap += np.bincount(pair, minlength=len(overlap))
+            overlap += np.bincount(pair, minlength=len(overlap)).astype(np.int32)
             done = stop
     overlap = overlap.reshape(len(sets_a), len(sets_b))
     union = size_a[:, None] + size_b[None, :] - overlap
-    a, b = np.nonzero(100 * overlap >= percent * union)
-    parent = {}
-
-    def root(x):
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
-
-    out = []
-    for x, y in zip(ids_a[a].tolist(), ids_b[b].tolist()):
-        p, q = root(x), root(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
+    linked = 100 * overlap.astype(np.int64) >= percent * union
+    return stars_of(linked, ids_a, ids_b)
+
+
+def stars_of(linked: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (id, smallest id reached) of the components of a matrix of links; ids without a link give none."""
+    rows, columns = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+    part = linked[np.ix_(rows, columns)]
+    label_a, label_b = ids_a[rows], ids_b[columns]
+    none = np.iinfo(np.int64).max
+    while len(rows):
+        new_a = np.minimum(label_a, np.where(part, label_b[None, :], none).min(axis=1))
+        new_b = np.minimum(label_b, np.where(part, new_a[:, None], none).min(axis=0))
+        if (new_a == label_a).all() and (new_b == label_b).all():
+            break
+        label_a, label_b = new_a, new_b
+    ids, labels = np.concatenate([ids_a[rows], ids_b[columns]]), np.concatenate([label_a, label_b])
+    apart = ids != labels
+    return ids[apart], labels[apart]
 
 
 def _links(blocks: DataFrame, percent: int) -> DataFrame:
@@ -183,27 +186,25 @@ def _links(blocks: DataFrame, percent: int) -> DataFrame:
         key, held = None, ([], [])
 
         def done():
-            (a, b) = held
+            a, b = held
             if key is None or not a:
                 return []
-            ids_a, sets_a = np.array([x for x, _ in a], np.int64), [s for _, s in a]
-            if key[1] == key[2]:
-                return linked_forest(ids_a, sets_a, ids_a, sets_a, percent)
-            return linked_forest(ids_a, sets_a, np.array([x for x, _ in b], np.int64), [s for _, s in b], percent) if b else []
+            other = a if key[1] == key[2] else b
+            if not other:
+                return []
+            ids = lambda rows: np.array([x for x, _ in rows], np.int64)
+            x, y = linked_forest(ids(a), [s for _, s in a], ids(other), [s for _, s in other], percent)
+            return [pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])] if len(x) else []
 
         for batch in batches:
             cols = [batch.column(k).to_pylist() for k in range(5)]
-            grams, out = batch.column(5), []
+            grams = batch.column(5)
             for k, (grp, i, j, side, sig) in enumerate(zip(*cols)):
                 if (grp, i, j) != key:
-                    out += done()
+                    yield from done()
                     key, held = (grp, i, j), ([], [])
                 held[side].append((sig, np.frombuffer(grams[k].as_py(), U64)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
-        out = done()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+        yield from done()
 
     return blocks.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side").mapInArrow(run, "a long, b long")
 
