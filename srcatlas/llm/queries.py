@@ -78,4 +78,23 @@ case when copies > 0 then round(2 * y1 / ((1 + tilt) + sqrt(greatest((1 + tilt)
 from y
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": _OP1}
+_OP4 = """
+with recursive v as (select vec_id, embedding as e, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as n from embeddings),
+k as (select vec_id, list_transform(e, lambda x: x::double / n) as u from v where n > 0),
+l as (select a.vec_id as a, b.vec_id as b from k a join k b on a.vec_id <> b.vec_id where list_sum(list_transform(list_zip(a.u, b.u), lambda x: x[1] * x[2])) >= 0.9),
+r as (select vec_id as node, vec_id as root from embeddings union select l.b, r.root from r join l on r.node = l.a),
+c as (select node, min(root) as component_id from r group by node), d as (select a, count(*) as n from l group by a)
+select vec_id, coalesce(d.n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from embeddings join c on node = vec_id left join d on a = vec_id
+"""
+
+_OP5 = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) end as s from w),
+e as (select doc_id, len(s) as n, unnest(s) as g from s),
+l as (select a.doc_id as a, b.doc_id as b from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r as (select doc_id as node, doc_id as root from documents union select l.b, r.root from r join l on r.node = l.a),
+c as (select node, min(root) as component_id from r group by node)
+select doc_id, len(s)::bigint as n_shingles, component_id from s join c on node = doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": _OP1, "op4_near_vectors": _OP4, "op5_jaccard_join": _OP5}
