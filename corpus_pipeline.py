@@ -39,8 +39,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the first row) of each group of five-word shingle similarity 0.8 or more."""
     # rows get numbers that hold for both reads, whatever their ids
-    rows = written(_packed(docs, "text").withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = jaccard.join(rows, key="_row", n=5, percent=80)
+    rows = written(_packed(docs).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard.join(rows.select("_row", F.col("_doc.text").alias("text")), key="_row", n=5, percent=80)
     first = groups.where("_row = component_id").select("_row")
     return rows.join(first, "_row").select("_doc.*")
 
