@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import prepared, typed
+from .shared import mapped, prepared, typed
 from .text import buffers, byte_codes, ragged, row_starts, slices, span_hashes
 
 #: Slots of a worker's word table, and how many ids its pool holds before it starts anew.
@@ -237,7 +237,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "token
             column = pa.ListArray.from_arrays(pa.array(row_starts(counts), pa.int32()), pa.array(np.concatenate([i for i, _ in parts])))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), column], [*names, ids])
 
-    return df.select(*[f"`{n}`" for n in names]).mapInArrow(run, typed(df, tuple(names), f"`{ids}` array<int>"))
+    return mapped(df.select(*[f"`{n}`" for n in names]), run, typed(df, tuple(names), f"`{ids}` array<int>"))
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -253,7 +253,7 @@ def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", text: str = "de
             flat = lists.flatten().to_numpy()
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(list(enc.decode(flat, counts)), pa.string())], [*names, text])
 
-    return df.select(*[f"`{n}`" for n in names]).mapInArrow(run, typed(df, tuple(names), f"`{text}` string"))
+    return mapped(df.select(*[f"`{n}`" for n in names]), run, typed(df, tuple(names), f"`{text}` string"))
 
 
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -277,4 +277,4 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
                     [key, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return df.select(f"`{key}`", f"`{text}`").mapInArrow(run, typed(df, (key,), "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return mapped(df.select(f"`{key}`", f"`{text}`"), run, typed(df, (key,), "n_tokens long, ids_sha256 string, decoded_sha256 string"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import prepared, typed, written
+from .shared import mapped, prepared, typed, written
 from .text import SLICE_BYTES, buffers, slices
 
 BUCKETS, CAP = 128, 240.0
@@ -109,7 +109,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             found = hex_of(of_texts([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(found, pa.string())], [*names, "fingerprint"])
 
-    return docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, typed(docs, tuple(names), "fingerprint string"))
+    return mapped(docs.select(*[f"`{c}`" for c in names]), run, typed(docs, tuple(names), "fingerprint string"))
 
 
 def edited(a: str, b: str) -> str:
@@ -167,7 +167,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         if keys:
             yield edge_row(keys[0], texts[0], "last", part)
 
-    done = written(ranged.mapInArrow(run, f"`{key}` long, {RESULT}, _edge string, _part int, _text string"), "digests")
+    done = written(mapped(ranged, run, f"`{key}` long, {RESULT}, _edge string, _part int, _text string"), "digests")
     firsts, lasts = done.where("_edge = 'first'"), done.where("_edge = 'last'")
     # a number per partition that has rows; no texts in the single-task window
     place = firsts.select("_part", (F.row_number().over(Window.orderBy("_part")) - 1).alias("_at"))
@@ -180,5 +180,5 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             texts, after = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             yield pa.RecordBatch.from_arrays(compared(batch.column(0).to_pylist(), texts, of_texts(texts), after, of_texts(after)), [key, *_NAMES])
 
-    rest = before.join(then, "_at").select(key, "_text", "_then").mapInArrow(close, f"`{key}` long, {RESULT}")
+    rest = mapped(before.join(then, "_at").select(key, "_text", "_then"), close, f"`{key}` long, {RESULT}")
     return done.where("_edge is null").select(key, *_NAMES).unionByName(rest)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import prepared, written
+from .shared import mapped, prepared, written
 from .text import U64, byte_codes, mix, powers, row_starts, signed
 
 #: Bits of a code; standard errors of the confidence bound; vectors of a block; aimed-at recall at the threshold.
@@ -156,7 +156,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             sig = [0 if r is None else int(mix(np.array([(byte_codes()[data[x:y]] * up[: y - x]).sum(dtype=U64)], U64)).view(np.int64)[0]) or 1 for r, x, y in zip(raw, ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.int64()), pa.array(raw, pa.binary())], ["_key", "sig", "v"])
 
-    rows = written(df.select(F.col(key).cast("long").alias("_key"), F.col(vector).alias("_v")).mapInArrow(read, "_key long, sig long, v binary"), "vectors")
+    rows = written(mapped(df.select(F.col(key).cast("long").alias("_key"), F.col(vector).alias("_v")), read, "_key long, sig long, v binary"), "vectors")
 
     def encode(batches):
         for batch in batches:
@@ -172,7 +172,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs, pa.binary()), pa.array(factor, pa.float32())], ["sig", "w", "v", "signs", "factor"])
 
     nodes = rows.where("sig <> 0").groupBy("sig").agg(F.count("*").alias("w"), F.first("v").alias("v"))
-    nodes = written(nodes.select("sig", "w", "v").mapInArrow(encode, "sig long, w long, v binary, signs binary, factor float"), "codes")
+    nodes = written(mapped(nodes.select("sig", "w", "v"), encode, "sig long, w long, v binary, signs binary, factor float"), "codes")
     k, sets = plan_sets(nodes.count(), threshold)
 
     def keyed(batches):
@@ -186,7 +186,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
                 sig = batch.column(0).take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sig.to_numpy(), sets)), pa.array(np.tile(np.arange(sets, dtype=np.int32), len(at))), pa.array(signed(keys.ravel()))], ["sig", "t", "k"])
 
-    keys = written(nodes.select("sig", "v").mapInArrow(keyed, "sig long, t int, k long"), "keys")
+    keys = written(mapped(nodes.select("sig", "v"), keyed, "sig long, t int, k long"), "keys")
     met = keys.groupBy("t", "k").agg(F.count("*").alias("m")).where("m > 1")
     placed = keys.join(met, ["t", "k"]).withColumn("n", F.ceil(F.col("m") / BLOCK).cast("int"))
     placed = placed.withColumn("i", F.pmod(F.xxhash64("sig"), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -233,7 +233,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             yield batch_of(out)
 
     by = ("t", "k", "i", "j")
-    found = written(blocks.repartition(*by).sortWithinPartitions(*by, "side").mapInArrow(compare, "a long, b long, n long"), "links")
+    found = written(mapped(blocks.repartition(*by).sortWithinPartitions(*by, "side"), compare, "a long, b long, n long"), "links")
     degree = found.where("b is null").groupBy(F.col("a").alias("sig")).agg(F.sum("n").alias("n"))
     linked = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("sig"), F.col("component").alias("class"))
     named = nodes.select("sig", "w").join(degree, "sig", "left").join(linked, "sig", "left").select("sig", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("class", "sig").alias("class"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepared, typed
+from .shared import mapped, prepared, typed
 
 #: Most labelled pages, on average, that weights are learned from; how many counts the prior is worth.
 SAMPLE, TRUST = 2000, 500.0
@@ -246,7 +246,7 @@ def learn(pages: DataFrame, key: str = "page_id", html: str = "html", sample: in
             if counts:
                 yield pa.RecordBatch.from_pydict({"kind": list(counts), "inside": pa.array([c[0] for c in counts.values()], pa.int64()), "outside": pa.array([c[1] for c in counts.values()], pa.int64())})
 
-    rows = chosen.select(html).mapInArrow(run, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b")).orderBy("kind").collect()
+    rows = mapped(chosen.select(html), run, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b")).orderBy("kind").collect()
     return Weights([(r.kind, float(r.a), float(r.b)) for r in rows])
 
 
@@ -262,4 +262,4 @@ def extract(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tu
             texts = [main_text(p, weights) for p in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
-    return pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html)).mapInArrow(run, typed(pages, keep, "text string, n_chars long"))
+    return mapped(pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html)), run, typed(pages, keep, "text string, n_chars long"))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .shared import prepared, written
+from .shared import mapped, prepared, written
 from .text import U64, buffers, mix, ragged, row_starts, signed, slices, word_hashes
 
 #: Sets and n-grams in a block; fragments of the order that are counted one after the other in a block pair.
@@ -206,7 +206,7 @@ def _links(blocks: DataFrame, percent: int) -> DataFrame:
                 held[side].append((sig, np.frombuffer(grams[k].as_py(), U64)))
         yield from done()
 
-    return blocks.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side").mapInArrow(run, "a long, b long")
+    return mapped(blocks.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side"), run, "a long, b long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -222,7 +222,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
                 g, counts = set_hashes(d, o, n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts), pa.array(signed(signatures(g, counts)))], ["_key", "n_shingles", "sig"])
 
-    table = written(own.mapInArrow(summary, "_key long, n_shingles long, sig long"), "sets")
+    table = written(mapped(own, summary, "_key long, n_shingles long, sig long"), "sets")
 
     def keys(batches):
         for batch in batches:
@@ -234,7 +234,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
                 # quota and sent are functions of the set; they travel as their difference, and only matter where fragments meet
                 yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(signed(sig)), pa.array((sent - quota).astype(np.int32))], ["k", "sig", "spare"])
 
-    fragments = own.select("_text").mapInArrow(keys, "k long, sig long, spare int")
+    fragments = mapped(own.select("_text"), keys, "k long, sig long, spare int")
 
     def shared(batches):
         """Rows of fragments that two or more sets have, with the number of these sets, repeated sets once. At most
@@ -286,7 +286,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     def named(rows):
         return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(rows[:, 3])], ["k", "sig", "spare", "freq"])
 
-    met = fragments.repartition("k").sortWithinPartitions("k", "sig").mapInArrow(shared, "k long, sig long, spare long, freq long")
+    met = mapped(fragments.repartition("k").sortWithinPartitions("k", "sig"), shared, "k long, sig long, spare long, freq long")
     own_order = Window.partitionBy("sig").orderBy("freq", "k")
     ranked = met.withColumn("rank", F.row_number().over(own_order)).withColumn("n", F.count("*").over(Window.partitionBy("sig")))
     # fragments that no other set has come first and make no candidates: of n shared ones, n - spare are left
@@ -307,7 +307,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
                 yield pa.RecordBatch.from_arrays([pa.array(signed(signatures(g, counts))), pa.array([g[x:y].tobytes() for x, y in zip(e[:-1], e[1:])], pa.binary())], ["sig", "grams"])
 
     texts = own.join(chosen.select("_key").distinct(), own["_key"].eqNullSafe(chosen["_key"]), "left_semi").select("_text")
-    sets = texts.mapInArrow(grams, "sig long, grams binary")
+    sets = mapped(texts, grams, "sig long, grams binary")
     placed = written(chosen.select("sig", "grp", "n_shingles"), "chosen")
     numbered = _numbered(placed)
     last = numbered.groupBy("grp").agg(F.max("i").alias("top"))

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import char_kinds
-from .shared import prepared, typed
-from .text import SLICE_BYTES, buffers, mix, row_starts, slices
+from .shared import mapped, prepared, typed
+from .text import SLICE_BYTES, buffers, mix, slices
 
 #: Length of profiles and of documents' lists.
 LIST = 300
@@ -140,7 +140,7 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profile
                 key, back = np.unique((which[a:b][row] << GRAM_BITS) | gram, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names[key >> GRAM_BITS].astype(object), pa.string()), pa.array(key & _MASK, pa.int64()), pa.array(np.bincount(back, count, len(key)).astype(np.int64))], ["lang", "gram", "n"])
 
-    counted = docs.where(F.col(lang).isNotNull()).select(text, F.col(lang).cast("string").alias("lang")).mapInArrow(run, "lang string, gram long, n long")
+    counted = mapped(docs.where(F.col(lang).isNotNull()).select(text, F.col(lang).cast("string").alias("lang")), run, "lang string, gram long, n long")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("rank", place).where(F.col("rank") <= LIST)
     return Profiles([(r.lang, r.gram, r.rank - 1) for r in top.select("lang", "gram", "rank").collect()])
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, known: Profiles, text: str = "text", keep: tuple[s
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, n) for k in range(batch.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score), pa.array(best)], [*keep, "lang_pred", "score", "distance"])
 
     schema = typed(docs, keep, "lang_pred string, score double, distance double")
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text)).mapInArrow(run, schema)
+    return mapped(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text)), run, schema)
 
 
 def remainder(key: Column, n: int) -> Column:

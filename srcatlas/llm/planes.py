@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import encoder
-from .shared import fresh_path, prepared
+from .shared import fresh_path, mapped, prepared
 from .text import buffers, row_starts, slices
 
 MAGIC, BLOCK, LEVEL = b"IDPL1\n", 1 << 16, 3
@@ -187,7 +187,7 @@ def write_ids(df: DataFrame, vocabulary: str, out: str, key: str = "doc_id", tex
             stream.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
-    ordered.mapInArrow(run, INDEX).write.mode("overwrite").parquet(out.rstrip("/") + "/index")
+    mapped(ordered, run, INDEX).write.mode("overwrite").parquet(out.rstrip("/") + "/index")
     return spark.read.schema(INDEX).parquet(out.rstrip("/") + "/index")
 
 
@@ -217,7 +217,7 @@ def read_ids(spark: SparkSession, out: str, key: str = "doc_id") -> DataFrame:
                         [key, "start", "n_tokens", "ids_crc32"],
                     )
 
-    return spread.mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
+    return mapped(spread, run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", planes: str = "byte") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepared, typed
+from .shared import mapped, prepared, typed
 from .text import SLICE_BYTES, buffers, row_starts, slices, word_hashes
 
 #: Most rows, on average, that the scorer is trained on; width of its hashed features.
@@ -197,7 +197,7 @@ def _patterns(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["pattern", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    rows = mapped(docs.select(text), run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     return np.array([r.pattern for r in rows], np.int64), np.array([r.n for r in rows], np.float64)
 
 
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
                 packed = np.minimum(np.round(x * 255), 255).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(pattern(votes(counts, m))[has])], ["x", "pattern"])
 
-    rows = chosen.select(text).mapInArrow(run, "x binary, pattern long").toArrow()
+    rows = mapped(chosen.select(text), run, "x binary, pattern long").toArrow()
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.uint8).reshape(-1, WIDTH)
     y = labels.of(rows["pattern"].to_numpy()) if len(x) else np.zeros(0)
     order = np.lexsort((x[:, :64].astype(np.int64).sum(1), rows["pattern"].to_numpy())) if len(x) else []
@@ -246,4 +246,4 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tup
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in range(batch.num_columns - 1)), pa.array(counts), pa.array(good), pa.array(score), pa.array(score >= 0.5)], [*keep, "n_words", "posterior", "score", "kept"])
 
     schema = typed(docs, keep, "n_words long, posterior double, score double, kept boolean")
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text)).mapInArrow(run, schema)
+    return mapped(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text)), run, schema)
