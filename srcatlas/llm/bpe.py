@@ -31,7 +31,7 @@ from .shared import mapped, prepared, typed
 from .text import buffers, byte_codes, ragged, row_starts, slices, span_hashes
 
 #: Slots of a worker's word table, and how many ids its pool holds before it starts anew.
-SLOTS_LOG, POOL_IDS = 21, 8_000_000
+SLOTS_LOG, POOL_IDS = 20, 4_000_000
 _SP, _LETTER, _NUMBER, _OTHER = range(4)
 
 
@@ -240,6 +240,27 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "token
     return mapped(df.select(*[f"`{n}`" for n in names]), run, typed(df, tuple(names), f"`{ids}` array<int>"))
 
 
+def encode_checked(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """df with token_ids and round_trip (whether they decode to the text) by one worker per task, where encode_texts
+    and decode_ids one after the other would take two."""
+    prepared(df.sparkSession)
+    names = [f.name for f in df.schema.fields if f.name not in ("token_ids", "round_trip")]
+
+    def run(batches):
+        enc = encoder(path)
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text))
+            data, offsets = buffers(column)
+            for a, b, d, o in slices(data, offsets):
+                ids, counts = enc.encode(d, o)
+                raw, cuts = d.tobytes(), o.tolist()
+                same = [raw[x:y] == t.encode() for x, y, t in zip(cuts[:-1], cuts[1:], enc.decode(ids, counts))]
+                lists = pa.ListArray.from_arrays(pa.array(row_starts(counts), pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)).slice(a, b - a) for n in names), lists, pa.array(same)], [*names, "token_ids", "round_trip"])
+
+    return mapped(df.select(*[f"`{n}`" for n in names]), run, typed(df, tuple(names), "token_ids array<int>, round_trip boolean"))
+
+
 def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """df with the text of its ids, null ids as an empty text."""
     prepared(df.sparkSession)
