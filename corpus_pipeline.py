@@ -52,9 +52,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    encoded = bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), vocabulary())
-    decoded = bpe.decode_ids(encoded, vocabulary())
-    return decoded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"), "token_ids")
+    coded = bpe.encode_checked(docs.select("doc_id", "lang", "source", "text"), vocabulary())
+    return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "round_trip", "token_ids")
 
 
 STAGES = [("quality", quality_stage), ("language", language_stage), ("near_duplicates", near_duplicate_stage), ("mixing", mixing_stage), ("tokens", token_stage)]
