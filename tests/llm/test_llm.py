@@ -162,6 +162,44 @@ def test_lm_rows_do_not_depend_on_their_batch(spark):
     assert all(abs(a[k] - b[k]) < 1e-4 * abs(a[k]) for k in a)
 
 
+def lm_slices(spark, rows, parts=16):
+    """(vocabulary, slices with the counts of their pairs) of rows (key, held out, text)."""
+    lm.prepared(spark)
+    own = spark.createDataFrame(rows, "_key long, _held boolean, _text string").repartition(3)
+    train = own.where("not _held")
+    found = lm.word_counts(train, "_text").toPandas().sort_values(["c", "h"], ascending=[False, True])
+    ends = train.count()
+    v = lm.Vocabulary(found.h.to_numpy(), found.c.to_numpy(), int(found.c.sum()) + ends, len(found) + 1, ends)
+    return v, lm.pair_counts(lm.written(lm.sliced(own), "slices"), spark.sparkContext.broadcast(v), parts).persist()
+
+
+def test_lm_context_counts_are_exact(spark):
+    # every (context, node) of the training documents has its own counts, in whatever slice and partition it comes
+    v, seen = lm_slices(spark, [(k, k % 4 == 1, prose(300, k)) for k in range(60)])
+    brute, checked = Counter(), 0
+    slices = [list(lm.seen_slices([b], v, 16)) for b in seen.toArrow().to_batches()]
+    walk = lambda t, i: range(v.start[t.leaf[i]], v.start[t.leaf[i]] + v.size[t.leaf[i]])
+    for rows, t, trained, _ in (x for s in slices for x in s):
+        for k, c in enumerate(t.context):
+            brute.update((k, c[i], v.nodes[j], v.bits[j]) for i in trained for j in walk(t, i))
+    assert len({(k, c, n) for k, c, n, _ in brute}) > 20_000
+    for rows, t, trained, s in (x for y in slices for x in y):
+        for k, c in enumerate(t.context):
+            for i in range(0, len(t.leaf), 7):
+                got, _ = s.at(k, np.array([i]), v.size[t.leaf[[i]]])
+                both = [[brute[k, c[i], v.nodes[j], b] for b in (0, 1)] for j in walk(t, i)]
+                want = [np.log((ones + 0.4) / (zeros + 0.4)) for zeros, ones in both]
+                assert np.allclose(got, want, atol=1e-4)
+                checked += 1
+    assert checked > 1000
+
+
+def test_lm_leaves_grow_with_the_training_tokens():
+    counts = np.full(50_000, 4000)
+    v = lm.Vocabulary(np.arange(50_000), counts, int(counts.sum()) + 1, 50_001, 1)
+    assert len(v.size) == 50_002
+
+
 # 3
 
 
