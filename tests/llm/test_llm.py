@@ -200,6 +200,22 @@ def test_lm_leaves_grow_with_the_training_tokens():
     assert len(v.size) == 50_002
 
 
+def test_lm_fit_uses_all_training_documents(spark):
+    # also those beyond 400 kB, and as they weigh: the fit is that of all decisions at once
+    rows = [(k, k % 5 == 1, prose(200, k)) for k in range(30)] + [(99, False, prose(90_000, 99))]
+    v, seen = lm_slices(spark, rows)
+    model, alone = lm.Model(v), lm.Model(v)
+    lm.fitted(seen, model, 16)
+    slices = [x for b in seen.toArrow().to_batches() for x in lm.seen_slices([b], v, 16, 1)]
+    for _ in range(lm.ROUNDS):
+        alone.step(sum(alone.slopes(t, s, trained) for _, t, trained, s in slices))
+    sums = sum(alone.buckets(t, s, trained) for _, t, trained, s in slices)
+    assert sums[0].sum() == sum(v.size[t.leaf[trained]].sum() for _, t, trained, _ in slices) > 600_000
+    alone.refine(sums)
+    assert np.allclose(model.weights, alone.weights, atol=1e-4) and np.allclose(model.refined, alone.refined, atol=1e-4)
+    assert np.abs(model.weights - 0.3).max() > 0.05
+
+
 # 3
 
 
