@@ -46,7 +46,9 @@ _NAMES = frozenset(
 _OUTER = frozenset("header topbar top head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _SKIP_BEFORE = frozenset("has with no without is".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,8192}\"|'[^']{0,8192}'|[\"'])*+)(?:>|\Z)|[^<]+|<", re.S)
+# a quoted value (after =) ends at its closing quote, however far; without one the quote is stray, and as no more of its
+# kind follow, a page is searched in vain at most once for each kind; quotes elsewhere pair up over 8192 characters at most
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|\"[^\"]{0,8192}\"|'[^']{0,8192}'|[\"'=])*+)(?:>|\Z)|[^<]+|<", re.S)
 _ATTR = re.compile(r"([a-zA-Z][\w:-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _CAMEL = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 

@@ -440,6 +440,23 @@ PAGE = """<html><head><title>T</title><style>p>a{}</style></head><body class="ha
 <section id="comments"><h2>Comments</h2><p>Great article, I loved all of it really</p></section><form><label>Mail</label><input></form><footer>copyright</footer></body></html>"""
 
 
+@pytest.mark.parametrize("quote", ["'", '"'])
+@pytest.mark.parametrize("size", [8_000, 9_000, 3_000_000])
+def test_html_long_attribute_values(quote, size):
+    # markup within a quoted value is no text, and attributes after it count, however long the value is
+    w, value = html.Weights([]), ("<p>not text a > b</p> " * (size // 20))[:size]
+    page = f"<html><body><p>{prose(40, 1)}</p><div data-x = {quote}{value}{quote} class='sidebar'><p>{prose(40, 2)}</p></div><p>{prose(40, 3)}</p></body></html>"
+    assert html.main_text(page, w) == prose(40, 1) + "\n" + prose(40, 3)
+    assert html.main_text(page.replace(f"{quote} class='sidebar'", quote), w) == "\n".join(prose(40, k) for k in (1, 2, 3))
+
+
+def test_html_stray_quotes():
+    # a quote that nothing closes is stray; many of them take linear time
+    w = html.Weights([])
+    assert html.main_text(f'<p title="x>{prose(40, 1)}</p><p>{prose(40, 2)}</p>', w) == prose(40, 1) + "\n" + prose(40, 2)
+    assert html.main_text("<p a='b' c=" * 300_000 + f"'>{prose(40, 1)}</p>", w).endswith(prose(40, 1))
+
+
 def test_html(spark):
     want = "Real title\nFirst para with a link & more text here to read.\nSecond para 1 < 2, five words more.\npoint one is here\npoint two too\nLast."
     assert html.main_text(PAGE, html.Weights([])) == want
