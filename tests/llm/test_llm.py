@@ -380,6 +380,11 @@ def test_encoder_equals_the_tokenizer(tokenizer):
     assert list(enc.decode(ids, counts)) == [t or "" for t in texts]
 
 
+def test_bpe_by_a_table_of_distinct_words(spark, docs):
+    rows = lambda df: Counter(tuple(r) for r in df.collect())
+    assert rows(bpe.joined_digests(docs, vocabulary())) == rows(bpe.digests(docs, vocabulary()))
+
+
 def test_bpe(spark, docs, none, tokenizer):
     got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(docs, vocabulary()).collect())
     want = Counter()
