@@ -6,24 +6,52 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # File-name suffix and role, in match order.
-KOTLIN_SUFFIXES = [
-    ("ScreenState", "screenstate"), ("ScreenAction", "screenaction"), ("ViewModel", "viewmodel"), ("Screen", "screen"), ("Fragment", "screen"),
-    ("UseCase", "usecase"), ("Interactor", "usecase"), ("RepositoryImpl", "repository"), ("Repository", "repository"), ("DataSource", "datasource"),
-    ("Service", "service"), ("Module", "di_module"), ("Graph", "nav_graph"), ("Model", "model"), ("Response", "model"),
-]
-SWIFT_SUFFIXES = [
-    ("ViewModel", "viewmodel"), ("View", "screen"), ("ViewController", "screen"), ("Interactor", "usecase"), ("UseCase", "usecase"), ("Repository", "repository"),
-    ("Service", "service"), ("Router", "nav_graph"), ("Coordinator", "nav_graph"), ("Model", "model"), ("State", "screenstate"), ("Reducer", "reducer"),
-]
+SUFFIX_ROLES = [
+    ("ScreenState.kt", "screenstate"),
+    ("ScreenAction.kt", "screenaction"),
+    ("ViewModel.kt", "viewmodel"),
+    ("Screen.kt", "screen"),
+    ("Fragment.kt", "screen"),
+    ("UseCase.kt", "usecase"),
+    ("Interactor.kt", "usecase"),
+    ("RepositoryImpl.kt", "repository"),
+    ("Repository.kt", "repository"),
+    ("DataSource.kt", "datasource"),
+    ("Service.kt", "service"),
+    ("Module.kt", "di_module"),
+    ("Graph.kt", "nav_graph"),
+    ("Model.kt", "model"),
+    ("Response.kt", "model"),
+    ("ViewModel.swift", "viewmodel"),
+    ("View.swift", "screen"),
+    ("ViewController.swift", "screen"),
+    ("Interactor.swift", "usecase"),
+    ("UseCase.swift", "usecase"),
+    ("Repository.swift", "repository"),
+    ("Service.swift", "service"),
+    ("Router.swift", "nav_graph"),
+    ("Coordinator.swift", "nav_graph"),
+    ("Model.swift", "model"),
+    ("State.swift", "screenstate"),
+    ("Reducer.swift", "reducer"),
+]
 # Layers of an exemplar and the suffixes that show them.
 KOTLIN_LAYERS = {
-    "viewmodel": ["ViewModel"], "screen": ["Screen", "Fragment", "Activity"], "state": ["State", "ScreenState", "UIState"],
-    "usecase": ["UseCase", "Interactor"], "repository": ["Repository", "RepositoryImpl"], "service": ["Service", "Api", "DataSource"],
-}
+    "viewmodel": ["ViewModel.kt"],
+    "screen": ["Screen.kt", "Fragment.kt", "Activity.kt"],
+    "state": ["State.kt", "ScreenState.kt", "UIState.kt"],
+    "usecase": ["UseCase.kt", "Interactor.kt"],
+    "repository": ["Repository.kt", "RepositoryImpl.kt"],
+    "service": ["Service.kt", "Api.kt", "DataSource.kt"],
+}
 SWIFT_LAYERS = {
-    "viewmodel": ["ViewModel"], "view": ["View", "ViewController"], "state": ["State", "Reducer"],
-    "usecase": ["UseCase", "Interactor"], "repository": ["Repository"], "service": ["Service", "API", "DataSource"],
-}
+    "viewmodel": ["ViewModel.swift"],
+    "view": ["View.swift", "ViewController.swift"],
+    "state": ["State.swift", "Reducer.swift"],
+    "usecase": ["UseCase.swift", "Interactor.swift"],
+    "repository": ["Repository.swift"],
+    "service": ["Service.swift", "API.swift", "DataSource.swift"],
+}
 # Layers of the feature search, by substring of the path.
 SEARCH_LAYERS = {"ViewModel": ["ViewModel"], "Screen": ["Screen", "Fragment"], "UseCase": ["UseCase", "Interactor"], "Repository": ["Repository"], "Service": ["Service", "DataSource"]}
 # Contract roles, and what names and annotations stand for.
@@ -53,8 +81,7 @@ def contains_any(c: Column, parts: list[str]) -> Column:
 
 def arch_role(path: Column) -> Column:
     """Role by the first matching file-name suffix, else `other`."""
-    pairs = [(s + ".kt", r) for s, r in KOTLIN_SUFFIXES] + [(s + ".swift", r) for s, r in SWIFT_SUFFIXES]
-    (first, role), *rest = pairs
+    (first, role), *rest = SUFFIX_ROLES
     out = F.when(path.endswith(first), role)
     for suffix, role in rest:
         out = out.when(path.endswith(suffix), role)

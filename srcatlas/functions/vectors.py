@@ -21,9 +21,3 @@ def l2_squared(a: Column, b: Column) -> Column:
 def distance(a: Column, b: Column, form: str = "l2_squared") -> Column:
     squared = l2_squared(a, b)
     return squared if form == "l2_squared" else F.sqrt(squared)
-
-
-def normalised(v: Column) -> Column:
-    """Unit length; a zero vector stays as it is."""
-    size = F.sqrt(dot(v, v))
-    return F.when(size > 0, F.transform(v, lambda x: (x.cast("double") / size).cast("float"))).otherwise(v)

@@ -42,6 +42,16 @@ def units(m: np.ndarray) -> np.ndarray:
     return np.where(size > 0, m / np.where(size > 0, size, 1), m).astype(np.float32)
 
 
+def unit(vector: Column) -> Column:
+    """array<float> of unit length; a zero vector stays as it is."""
+
+    @F.pandas_udf("array<float>")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([units(np.asarray(v, np.float64)[None])[0] for v in rows])
+
+    return run(vector)
+
+
 def embedding(text: Column, factory: Callable[[], Model] = hashed_ngrams, batch: int = 32, prefix: str = "") -> Column:
     """array<float> of unit length for each text; null counts as empty."""
 

@@ -2,81 +2,71 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
-from pyspark.sql.window import Window
 
 from ..functions import paths
 from ..functions import text as T
+from ..lang.lexer import tokens
 
 # Limits of the extraction.
 WHOLE_LINES, METHOD_LINES, TOTAL_LINES, FALLBACK_LINES, LINE_WIDTH = 200, 40, 100, 40, 80
+SPANS = "array<struct<s:int,e:int>>"
 # Lines that start a method or type.
 KOTLIN_ANCHOR = r"^\s*(public|open|abstract|override|internal)?\s*(fun|class|interface|abstract class)\s+\w+"
 SWIFT_ANCHOR = r"^\s*(public|open|internal)?\s*(func|class|struct|protocol)\s+\w+"
 
 
-def merge_intervals(rows: DataFrame, key: list[str], start: str, end: str, gap: int = 2) -> DataFrame:
-    """(key, start, end): intervals of each key joined while the next starts at most `gap` after the end so far."""
-    order = Window.partitionBy(*key).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", F.when(F.col(start) <= reach + gap, 0).otherwise(1))
-    islands = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return islands.groupBy(*key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
-
-
-def budget_prefix(rows: DataFrame, key: list[str], order: list[str], size: Column, budget: float) -> DataFrame:
-    """The rows of each key before the first whose running sum of size exceeds the budget (that one ends it)."""
-    upto = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("running", F.sum(size).over(upto)).where(F.col("running") <= budget)
-
-
-def block_end(lines: list[str], start: int) -> int:
-    """The line on which the braces that open from `start` on are closed; strings and comments do not count.
-    Without such a line, FALLBACK_LINES after the start at most."""
-    state, depth, opened = "code", 0, False
-    for n in range(start, len(lines)):
-        line, at = lines[n], 0
-        while at < len(line):
-            two, three = line[at : at + 2], line[at : at + 3]
-            step = 1
-            if state == "raw":
-                if three == '"""':
-                    state, step = "code", 3
-            elif state == "comment":
-                if two == "*/":
-                    state, step = "code", 2
-            elif state == "string":
-                if line[at] == "\\":
-                    step = 2
-                elif line[at] == '"':
-                    state = "code"
-            elif three == '"""':
-                state, step = "raw", 3
-            elif two == "/*":
-                state, step = "comment", 2
-            elif two == "//":
-                break
-            elif line[at] == '"':
-                state = "string"
-            elif line[at] == "{":
-                depth, opened = depth + 1, True
-            elif line[at] == "}":
-                depth -= 1
-                if opened and depth == 0:
-                    return n
-            at += step
-    return min(start + FALLBACK_LINES, len(lines) - 1)
+def block_ends(lines: list[str], anchors: list[int], interpolation: str = "${") -> list[int]:
+    """For each anchor line the line that closes the first block opened on it or below; FALLBACK_LINES further, at
+    most, where no block opens or the block stays open. Braces pair up over the file's tokens, once for all anchors,
+    so those in strings, character literals and comments are none."""
+    opened: list[int] = []
+    pairs: list[list[int]] = []  # [line of the opener, line of its closer], by opener
+    for t in tokens("\n".join(lines), interpolation):
+        if t.kind != "mark":
+            continue
+        if t.text == "{":
+            opened.append(len(pairs))
+            pairs.append([t.line, -1])
+        elif t.text == "}" and opened:
+            pairs[opened.pop()][1] = t.line
+    starts = [a for a, _ in pairs]
+    out = []
+    for anchor in anchors:
+        k = bisect_left(starts, anchor)
+        closed = pairs[k][1] if k < len(pairs) else -1
+        out.append(closed if closed >= 0 else min(anchor + FALLBACK_LINES, len(lines) - 1))
+    return out
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
-def _block_ends(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for lines, anchors in batches:
-        yield pd.Series([[block_end(list(x), int(a)) for a in s] for x, s in zip(lines, anchors)])
+def _block_ends(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for lines, anchors, interpolation in batches:
+        yield pd.Series([block_ends(list(x), [int(a) for a in s], i) for x, s, i in zip(lines, anchors, interpolation)])
+
+
+def join_near(spans: Column, gap: int = 2) -> Column:
+    """Spans (s, e) in order, joined while the next starts at most `gap` after the end so far."""
+    far = lambda acc, r: (F.size(acc) == 0) | (r["s"] > F.element_at(acc, -1)["e"] + gap)
+    longer = lambda acc, r: F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], r["e"]).alias("e"))
+    return F.aggregate(spans, F.array().cast(SPANS), lambda acc, r: F.when(far(acc, r), F.concat(acc, F.array(r))).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer(acc, r)))))
+
+
+def within_budget(spans: Column, most: int) -> Column:
+    """Spans (s, e) before the first with which their lines are more than `most`."""
+    start = F.struct(F.array().cast(SPANS).alias("out"), F.lit(0).alias("n"))
+    # the sum goes on past the limit, so that nothing after the first that does not fit comes in
+    def step(acc, r):
+        n = acc["n"] + (r["e"] - r["s"] + 1)
+        return F.struct(F.when(n <= most, F.concat(acc["out"], F.array(r))).otherwise(acc["out"]).alias("out"), n.alias("n"))
+
+    return F.aggregate(spans, start, step, lambda acc: acc["out"])
 
 
 def extract(files: DataFrame, max_method_lines: int = METHOD_LINES, max_total_lines: int = TOTAL_LINES) -> DataFrame:
@@ -92,21 +82,9 @@ def extract(files: DataFrame, max_method_lines: int = METHOD_LINES, max_total_li
     other = long.where(~kotlin & ~swift).select(*files.columns, F.substring("content", 1, max_total_lines * LINE_WIDTH).alias("extract"))
     code = long.where(kotlin | swift)
     plain = code.where(F.size("_anchors") == 0).select(*files.columns, F.array_join(F.slice("_lines", 1, max_total_lines), "\n").alias("extract"))
-    ends = code.where(F.size("_anchors") > 0).withColumn("_ends", _block_ends("_lines", "_anchors"))
+    ends = code.where(F.size("_anchors") > 0).withColumn("_ends", _block_ends("_lines", "_anchors", F.when(swift, "\\(").otherwise("${")))
     spans = F.zip_with("_anchors", "_ends", lambda a, e: F.struct(a.alias("s"), F.least(e, a + (max_method_lines - 1)).alias("e")))
-    kind = "array<struct<s:int,e:int>>"
-    # the budget: spans up to the first that does not fit
-    taken = F.aggregate(
-        spans, F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("n"), F.lit(False).alias("full")),
-        lambda acc, r: F.when(acc["full"] | (acc["n"] + (r["e"] - r["s"] + 1) > max_total_lines), F.struct(acc["out"].alias("out"), acc["n"].alias("n"), F.lit(True).alias("full")))
-        .otherwise(F.struct(F.concat(acc["out"], F.array(r)).alias("out"), (acc["n"] + (r["e"] - r["s"] + 1)).alias("n"), F.lit(False).alias("full"))),
-        lambda acc: acc["out"],
-    )
-    merged = F.aggregate(
-        taken, F.array().cast(kind),
-        lambda acc, r: F.when((F.size(acc) > 0) & (r["s"] <= F.element_at(acc, -1)["e"] + 2), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], r["e"]).alias("e")))))
-        .otherwise(F.concat(acc, F.array(r))),
-    )
+    merged = join_near(within_budget(spans, max_total_lines))
     body = F.array_join(F.transform(merged, lambda r: F.array_join(F.slice("_lines", r["s"] + 1, r["e"] - r["s"] + 1), "\n")), f"\n{T.TRUNCATED}\n\n")
     methods = ends.select(*files.columns, body.alias("extract"))
     return short.unionByName(other).unionByName(plain).unionByName(methods)

@@ -4,30 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import paths, roles
 
 # A file's suffix and its siblings' suffixes, in match order.
-KOTLIN_SIBLINGS = [
-    ("ViewModel", ["Screen", "ScreenState", "ScreenAction", "UseCase", "Graph"]),
-    ("Screen", ["ViewModel", "ScreenState", "ScreenAction"]),
-    ("ScreenState", ["ViewModel", "Screen", "ScreenAction"]),
-    ("UseCase", ["ViewModel", "Repository", "RepositoryImpl"]),
-    ("Repository", ["RepositoryImpl", "UseCase", "Service"]),
-    ("RepositoryImpl", ["Repository", "Service", "DataSource"]),
-    ("Service", ["Repository", "RepositoryImpl"]),
-    ("Fragment", ["ViewModel", "Adapter"]),
-]
-SWIFT_SIBLINGS = [
-    ("ViewModel", ["View", "State", "UseCase", "Reducer"]),
-    ("View", ["ViewModel", "State"]),
-    ("ViewController", ["ViewModel", "Router", "Coordinator"]),
-    ("UseCase", ["ViewModel", "Repository"]),
-    ("Repository", ["UseCase", "Service"]),
-    ("Service", ["Repository"]),
-    ("Reducer", ["State", "ViewModel", "View"]),
-]
+KOTLIN_SIBLINGS = {
+    "ViewModel.kt": ["Screen.kt", "ScreenState.kt", "ScreenAction.kt", "UseCase.kt", "Graph.kt"],
+    "Screen.kt": ["ViewModel.kt", "ScreenState.kt", "ScreenAction.kt"],
+    "ScreenState.kt": ["ViewModel.kt", "Screen.kt", "ScreenAction.kt"],
+    "UseCase.kt": ["ViewModel.kt", "Repository.kt", "RepositoryImpl.kt"],
+    "Repository.kt": ["RepositoryImpl.kt", "UseCase.kt", "Service.kt"],
+    "RepositoryImpl.kt": ["Repository.kt", "Service.kt", "DataSource.kt"],
+    "Service.kt": ["Repository.kt", "RepositoryImpl.kt"],
+    "Fragment.kt": ["ViewModel.kt", "Adapter.kt"],
+}
+SWIFT_SIBLINGS = {
+    "ViewModel.swift": ["View.swift", "State.swift", "UseCase.swift", "Reducer.swift"],
+    "View.swift": ["ViewModel.swift", "State.swift"],
+    "ViewController.swift": ["ViewModel.swift", "Router.swift", "Coordinator.swift"],
+    "UseCase.swift": ["ViewModel.swift", "Repository.swift"],
+    "Repository.swift": ["UseCase.swift", "Service.swift"],
+    "Service.swift": ["Repository.swift"],
+    "Reducer.swift": ["State.swift", "ViewModel.swift", "View.swift"],
+}
 # Directories beside a file's parent that hold siblings, in order.
 SIBLING_DIRS = ["presentation", "domain", "data", "ui", "di"]
 
@@ -62,8 +61,7 @@ def score_modules(files: DataFrame, modules: DataFrame, language: str) -> DataFr
     layers, endings = (roles.KOTLIN_LAYERS, [".kt", ".kts"]) if language == "kotlin" else (roles.SWIFT_LAYERS, [".swift"])
     p = F.col("file_path")
     own = files.where(paths.extension(p).isin(endings))
-    suffixes = {n: [s + (".kt" if language == "kotlin" else ".swift") for s in x] for n, x in layers.items()}
-    return layer_matrix(module_files(own, modules), "module_path", {n: roles.ends_with_any(p, s) for n, s in suffixes.items()}, p, F.col("line_count"))
+    return layer_matrix(module_files(own, modules), "module_path", {n: roles.ends_with_any(p, s) for n, s in layers.items()}, p, F.col("line_count"))
 
 
 def best_exemplar(scored: DataFrame, preferred: str = "") -> DataFrame:
@@ -94,6 +92,10 @@ def module_counts(registry: DataFrame, module: str = "build_module") -> DataFram
     return registry.groupBy(module).agg(F.count("*").alias("files")).select("*", core.alias("is_core"), feature.alias("is_feature"), (~core & ~feature).alias("is_other"))
 
 
+def distinct_modules(registry: DataFrame, module: str = "build_module") -> DataFrame:
+    return registry.select(module).distinct().orderBy(module)
+
+
 def squeezed(c: Column, more: str = "") -> Column:
     return F.translate(F.lower(c), "_-" + more, "")
 
@@ -116,12 +118,13 @@ def search_layers(registry: DataFrame, module: str = "build_module") -> DataFram
 
 def sibling_targets(path: str, language: str) -> tuple[str, str, list[tuple[str, str, str]]] | None:
     """(suffix, base name, [(role, file name, ...)]) of a path, None if no suffix fits or nothing is before it."""
-    table, ext = (KOTLIN_SIBLINGS, ".kt") if language == "kotlin" else (SWIFT_SIBLINGS, ".swift")
+    table = KOTLIN_SIBLINGS if language == "kotlin" else SWIFT_SIBLINGS
     name = path.rsplit("/", 1)[-1]
-    for suffix, others in table:
-        if name.endswith(suffix + ext):
-            base = name[: -len(suffix + ext)]
-            return (suffix, base, [(o, base + o + ext) for o in others]) if base else None
+    role = lambda suffix: suffix.rsplit(".", 1)[0]
+    for suffix, others in table.items():
+        if name.endswith(suffix):
+            base = name.removesuffix(suffix)
+            return (role(suffix), base, [(role(o), base + o) for o in others]) if base else None
     return None
 
 
@@ -154,7 +157,3 @@ def gap_hint(registry: DataFrame, mandatory: DataFrame) -> DataFrame:
     """Up to two files in core, base, shared or common directories that are not in the context yet."""
     low = F.lower("file_path")
     return registry.where(roles.contains_any(low, roles.PRIORITY_SEGMENTS[:-1])).join(mandatory.select("file_path"), "file_path", "left_anti").orderBy("file_path").limit(2)
-
-
-def numbered(df: DataFrame, *order: Column) -> DataFrame:
-    return df.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)))

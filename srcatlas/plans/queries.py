@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, roles, text, vectors
-from ..operators import chunking, delta, intervals, modules, references, search, unions
+from ..operators import chunking, delta, embed, intervals, modules, references, search, unions
 from ..sources import tree
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,7 +66,7 @@ def knn_post_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     "select label, count(*) as n, count(distinct vec_id) as ids, round(max(abs(list_sum(list_transform(embedding, lambda x: x::double * x::double)) - 1.0)), 5) as off from embeddings group by label"
 )
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").withColumn("u", vectors.normalised(F.col("embedding")))
+    v = table(spark, sf_dir, "embeddings").withColumn("u", embed.unit(F.col("embedding")))
     return v.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"), F.round(F.max(F.abs(vectors.dot(F.col("u"), F.col("u")) - 1.0)), 5).alias("off"))
 
 
@@ -191,11 +191,10 @@ def path_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _role_sql() -> str:
-    cases = [(s + ".kt", r) for s, r in roles.KOTLIN_SUFFIXES] + [(s + ".swift", r) for s, r in roles.SWIFT_SUFFIXES]
-    return "case " + " ".join(f"when ends_with(path, '{s}') then '{r}'" for s, r in cases) + " else 'other' end"
+    return "case " + " ".join(f"when ends_with(path, '{s}') then '{r}'" for s, r in roles.SUFFIX_ROLES) + " else 'other' end"
 
 
-_ENDINGS = [s + ".kt" for s, _ in roles.KOTLIN_SUFFIXES] + [s + ".swift" for s, _ in roles.SWIFT_SUFFIXES] + ["Thing.kt", ".kts", "Model.java"]
+_ENDINGS = [s for s, _ in roles.SUFFIX_ROLES] + ["Thing.kt", ".kts", "Model.java"]
 _NAMED = "select p_partkey, p_brand || '/' || replace(p_name, ' ', '') || list_extract([" + ", ".join(f"'{e}'" for e in _ENDINGS) + f"], (p_size % {len(_ENDINGS)} + 1)::int) as path from part"
 
 
@@ -274,16 +273,19 @@ def sibling_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
-    spans = table(spark, sf_dir, "events").select("user_id", at.alias("s"), (at + 21600).alias("t"))
-    return intervals.merge_intervals(spans, ["user_id"], "s", "t")
+    spans = table(spark, sf_dir, "events").select("user_id", F.struct(at.cast("int").alias("s"), (at + 21600).cast("int").alias("e")).alias("r")).groupBy("user_id").agg(F.array_sort(F.collect_list("r")).alias("spans"))
+    return spans.select("user_id", F.explode(intervals.join_near(F.col("spans"))).alias("r")).select("user_id", F.col("r.s").cast("long").alias("s"), F.col("r.e").cast("long").alias("t"))
 
 
 @query(
     """select l_orderkey, count(*) as n, round(max(running), 2) as used from (select l_orderkey, sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows unbounded preceding) as running from lineitem) where running <= 100 group by l_orderkey"""
 )
 def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = intervals.budget_prefix(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], F.col("l_quantity"), 100.0)
-    return kept.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.max("running"), 2).alias("used"))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"))
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("rows"))
+    spans = orders.select("l_orderkey", intervals.within_budget(F.transform("rows", lambda r: F.struct(F.lit(1).alias("s"), r["q"].alias("e"))), 100).alias("kept"))
+    used = F.aggregate("kept", F.lit(0), lambda n, r: n + r["e"])
+    return spans.where(F.size("kept") > 0).select("l_orderkey", F.size("kept").cast("long").alias("n"), F.round(used.cast("double"), 2).alias("used"))
 
 
 @query(
@@ -318,7 +320,7 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select distinct source from documents order by source")
 def distinct_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("source").distinct().orderBy("source")
+    return modules.distinct_modules(table(spark, sf_dir, "documents"), "source")
 
 
 @query(_LINKS + "select count(*) as edges, count(distinct page_id) as sources, count(distinct target) as targets from e")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import schemas
+from ..operators.modules import distinct_modules
 
 TABLES = {"chunks": schemas.CHUNKS, "registry": schemas.REGISTRY, "parsed": schemas.PARSED}
 
@@ -96,7 +97,7 @@ class Store:
         return self.read(name).count()
 
     def modules(self) -> DataFrame:
-        return self.read("registry").select("build_module").distinct().orderBy("build_module")
+        return distinct_modules(self.read("registry"))
 
     def module_files(self, module: str) -> DataFrame:
         return self.read("registry").where(F.col("build_module") == F.lit(module)).select("file_path")

@@ -22,7 +22,7 @@ from .. import schemas
 from ..functions import paths, text
 
 # Directories that are never entered.
-PRUNED = frozenset(".git .gradle .idea build node_modules Pods DerivedData .mcp-context __pycache__ .build Carthage".split())
+PRUNED = frozenset([".git", ".gradle", ".idea", "build", "node_modules", "Pods", "DerivedData", ".mcp-context", "__pycache__", ".build", "Carthage"])
 # Extensions by language.
 EXTENSIONS = {"kotlin": [".kt", ".kts"], "swift": [".swift"]}
 #: Levels of the tree in which build files are looked for.

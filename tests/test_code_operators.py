@@ -248,10 +248,18 @@ def test_extract_marks_gaps(spark):
 
 
 def test_intervals_and_budget(spark):
-    df = spark.createDataFrame([(1, 0, 2), (1, 4, 5), (1, 8, 9), (2, 0, 9), (2, 1, 2), (2, 11, 12)], "k int, s int, e int")
-    assert sorted(tuple(r) for r in intervals.merge_intervals(df, ["k"], "s", "e").collect()) == [(1, 0, 5), (1, 8, 9), (2, 0, 12)]
-    rows = spark.createDataFrame([(1, 1, 60), (1, 2, 50), (1, 3, 1)], "k int, o int, n int")
-    assert [r.o for r in intervals.budget_prefix(rows, ["k"], ["o"], F.col("n"), 100).collect()] == [1]
+    df = spark.createDataFrame([(1, [(0, 2), (4, 5), (8, 9)]), (2, [(0, 9), (1, 2), (11, 12)]), (3, [])], "k int, r array<struct<s:int,e:int>>")
+    found = {r.k: [tuple(x) for x in r.m] for r in df.select("k", intervals.join_near(F.col("r")).alias("m")).collect()}
+    assert found == {1: [(0, 5), (8, 9)], 2: [(0, 12)], 3: []}
+    rows = spark.createDataFrame([([(1, 60), (1, 50), (1, 1)],)], "r array<struct<s:int,e:int>>")
+    assert [tuple(x) for x in rows.select(intervals.within_budget(F.col("r"), 100).alias("b")).first().b] == [(1, 60)]
+
+
+def test_block_ends():
+    lines = ["fun a() {", "  val s = \"} { ${f { 1 }}\"", "  val c = '{'  // }", "  /* } */", "  if (x) { y() }", "}", "fun b() = 1", "fun c() {", "  open"]
+    assert intervals.block_ends(lines, [0, 6, 7]) == [5, 8, 8]  # no block closes below: to the end of a short file
+    assert intervals.block_ends(["fun a() {", "}"] + ["x"] * 60, [0, 2]) == [1, 42]
+    assert intervals.block_ends(["func a() {", '  let s = "\\(f { $0 }) }"', "}"], [0], "\\(") == [2]
 
 
 def test_diff(spark):
