@@ -1,17 +1,22 @@
-"""Byte-level BPE by a cache of words: split, encode the words that the cache lacks, put ids back by position.
-
-A batch of texts is split into words (pre-tokens) with array operations. The
-words' 64-bit hashes look their ids up in a word table of bounded size; the
-distinct words that are not there yet go to the tokenizer, each once, and enter
-the table. Ids return to their positions by an indexed copy. Decoding is a join
-of ids with the table of pieces (as many rows as the vocabulary), as bytes.
-
-The table is a cache of each Python worker, so a word is encoded again in each, after a
-collision and after a reset. joined_digests has a shuffled table of distinct words instead: the
-same result, but every position of the corpus moves (7.1 times the input on sf0.1).
-
-null text counts as empty. Special tokens in a text are found as the tokenizer
-itself does (those rare rows go to it whole).
+"""Byte-level BPE by a table of distinct words.
+
+1. Texts go in slices of about SLICE bytes, which one exchange deals out. Each is
+   split into words (pre-tokens) with array operations; a slice sends each of its
+   distinct words once, with its number in the slice.
+2. The words of all slices become one table of distinct words, keyed by their
+   bytes (no hash stands for a word). Each is encoded once; its ids are decoded by
+   a join with the table of pieces (as many rows as the vocabulary).
+3. The table is joined back to (slice, number), and within each slice ids and
+   pieces return to their positions by an indexed copy. What moves is each slice
+   once and its distinct words, never a row per position.
+
+`Encoder` alone, with a bounded table of words in each worker, serves streams that
+cannot wait for a join (files of ids, see planes.py).
+
+null and empty texts have no ids and decode to an empty text. Rows repeat and tie
+as they come: each is coded by itself, in no promised order. An empty table gives an
+empty result. A word of any length is one row. A text that holds a special token goes
+to the tokenizer whole, as one word. Other columns travel along, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -30,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import mapped, prepared, typed
-from .text import buffers, byte_codes, ragged, row_starts, slices, span_hashes
+from .shared import mapped, prepared, trim, typed
+from .text import buffers, distinct_spans, ragged, row_starts, slices
 
-#: Slots of a worker's word table, and how many ids its pool holds before it starts anew.
-SLOTS_LOG, POOL_IDS = 20, 4_000_000
+#: Bytes of text in a slice (one longer text stands alone); bytes of words that a worker's own table holds before it starts anew.
+SLICE, HELD_BYTES = 8 << 20, 16 << 20
 _SP, _LETTER, _NUMBER, _OTHER = range(4)
 
 
@@ -107,8 +112,18 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(flag)
 
 
+def placed(values: list, number: np.ndarray, edges: np.ndarray, kind=np.int32) -> tuple[np.ndarray, np.ndarray]:
+    """The values of word number[0], number[1], ... one after the other, and how many each row has; edges: the first
+    word of each row, and the number of words."""
+    size = np.fromiter(map(len, values), np.int64, len(values))
+    pool = np.concatenate([np.asarray(v, kind) for v in values]) if len(values) < 64 else np.fromiter((i for x in values for i in x), kind, int(size.sum()))
+    each = size[number]
+    out = ragged(pool, row_starts(size)[:-1][number], each)
+    return out, np.diff(row_starts(each)[edges])
+
+
 class Encoder:
-    """The tokenizer with its word table."""
+    """The tokenizer with a table of words, by their bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -125,6 +140,7 @@ class Encoder:
         pieces = [b""] * size
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             pieces[i] = token.encode() if token in self.special else bytes(to_byte[c] for c in token)
+        self.pieces = pieces
         self.piece_len = np.array([len(p) for p in pieces], np.int64)
         self.piece_at = row_starts(self.piece_len)[:-1]
         self.piece_pool = np.frombuffer(b"".join(pieces), np.uint8)
@@ -134,63 +150,45 @@ class Encoder:
         self.digit_pool = np.frombuffer(b"".join(digits), np.uint8)
 
     def reset(self) -> None:
-        self.keys = np.zeros(1 << SLOTS_LOG, np.uint64)
-        self.at = np.zeros(1 << SLOTS_LOG, np.int32)
-        self.size = np.zeros(1 << SLOTS_LOG, np.int32)
-        self.pool = np.zeros(1 << 16, np.int32)
-        self.used = 0
-
-    def _store(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
-        need = self.used + len(flat)
-        if need > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(need, len(self.pool)), np.int32)])
-        self.pool[self.used : need] = flat
-        at = (row_starts(size)[:-1] + self.used).astype(np.int32)
-        self.used = need
-        return at, size
+        self.known: dict[bytes, list[int]] = {}
+        self.held = 0
+
+    def word(self, raw: bytes) -> list[int]:
+        """Ids of one word, or of a whole text with special tokens."""
+        if any(x.encode() in raw for x in self.special):
+            return self.tokenizer.encode(raw.decode("utf-8"), add_special_tokens=False).ids
+        return [t.id for t in self.tokenizer.model.tokenize(raw.decode("latin-1").translate(self.char_of))]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after the other, and their number per row."""
-        raw = data.tobytes()
-        if any(x.encode() in raw for x in self.special):
-            return self._whole(data, offsets)
-        if not len(data):
+        starts, ends = self.split(data, offsets)
+        if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
-        starts = split_words(data, offsets)
-        ends = np.append(starts[1:], len(data))
-        h = span_hashes(byte_codes()[data], starts, ends)
-        slot = (h >> np.uint64(64 - SLOTS_LOG)).astype(np.int64)
-        if self.used > POOL_IDS:
+        first, number = distinct_spans(data, starts, ends)
+        if self.held > HELD_BYTES:
             self.reset()
-        missing = np.flatnonzero(self.keys[slot] != h)
-        at, size = self.at[slot], self.size[slot]
-        if len(missing):
-            new, where, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            spans = missing[where]
-            tokenize, chars = self.tokenizer.model.tokenize, self.char_of
-            new_at, new_size = self._store([[t.id for t in tokenize(raw[a:b].decode("latin-1").translate(chars))] for a, b in zip(starts[spans].tolist(), ends[spans].tolist())])
-            at[missing], size[missing] = new_at[back], new_size[back]
-            s = slot[spans]
-            self.keys[s], self.at[s], self.size[s] = new, new_at, new_size
-        ids = ragged(self.pool, at.astype(np.int64), size.astype(np.int64))
-        before = row_starts(size)
-        per_row = before[np.searchsorted(starts, offsets)]
-        return ids, np.diff(per_row)
-
-    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out, counts = [], []
-        for a, b in zip(offsets[:-1], offsets[1:]):
-            row = data[a:b]
-            text = row.tobytes().decode("utf-8")
-            if any(s in text for s in self.special):
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-            else:
-                ids = self.encode(row, np.array([0, len(row)]))[0]
-            out.append(ids)
-            counts.append(len(ids))
-        return np.concatenate(out) if out else np.zeros(0, np.int32), np.array(counts, np.int64)
+        raw, ids = data.tobytes(), []
+        for x, y in zip(starts[first].tolist(), ends[first].tolist()):
+            word = raw[x:y]
+            found = self.known.get(word)
+            if found is None:
+                found = self.known[word] = self.word(word)
+                self.held += len(word) + 100
+            ids.append(found)
+        return placed(ids, number, np.searchsorted(starts, offsets))
+
+    def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words; a row with a special token is one word."""
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        starts = split_words(data, offsets)
+        raw = data.tobytes()
+        if any(x.encode() in raw for x in self.special):
+            ends = offsets.tolist()
+            for a, b in zip(ends[:-1], ends[1:]):
+                if any(x.encode() in raw[a:b] for x in self.special):
+                    starts = starts[(starts <= a) | (starts >= b)]
+        return starts, np.append(starts[1:], len(data))
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> Iterator[str]:
         """Each row's text: its ids joined with the table of pieces; broken UTF-8 becomes U+FFFD."""
@@ -226,42 +224,153 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """df with a column of token ids (array<int>); an empty or null text has none."""
-    prepared(df.sparkSession)
-    names = [f.name for f in df.schema.fields if f.name != ids]
+WORDS = "slice long, n int, word binary"
+
+
+def sliced(df: DataFrame, text: str) -> DataFrame:
+    """df as rows (slice, docs): an Arrow stream of the rows of about SLICE bytes of text, compressed."""
 
     def run(batches):
-        enc = encoder(path)
+        part, at = TaskContext.get().partitionId() << 33, 0
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def done():
+            nonlocal at, held, size
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+                for h in held:
+                    out.write_batch(h)
+            row = pa.RecordBatch.from_arrays([pa.array([part + at]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["slice", "docs"])
+            at, held, size = at + 1, [], 0
+            return row
+
         for batch in batches:
             data, offsets = buffers(batch.column(batch.schema.get_field_index(text)))
-            parts = [enc.encode(d, o) for _, _, d, o in slices(data, offsets)] or [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
-            counts = np.concatenate([c for _, c in parts])
-            column = pa.ListArray.from_arrays(pa.array(row_starts(counts), pa.int32()), pa.array(np.concatenate([i for i, _ in parts])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), column], [*names, ids])
+            for a, b, d, _ in slices(data, offsets, SLICE):
+                if held and size + len(d) > SLICE:
+                    yield done()
+                held.append(batch.slice(a, b - a))
+                size += len(d)
+        if held:
+            yield done()
 
-    return mapped(df.select(*[f"`{n}`" for n in names]), run, typed(df, tuple(names), f"`{ids}` array<int>"))
+    return mapped(df, run, "slice long, docs binary")
 
 
-def encode_checked(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """df with token_ids and round_trip (whether they decode to the text) by one worker per task, where encode_texts
-    and decode_ids one after the other would take two."""
-    prepared(df.sparkSession)
-    names = [f.name for f in df.schema.fields if f.name not in ("token_ids", "round_trip")]
+def opened(docs: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(docs).read_all().combine_chunks().to_batches()[0]
 
-    def run(batches):
+
+def word_table(words: DataFrame, path: str) -> DataFrame:
+    """(word, ids, decoded): each distinct word of words (word) encoded once, and its ids joined with the table of pieces."""
+    spark = words.sparkSession
+
+    def encoded(batches):
+        enc = encoder(path)
+        for batch in batches:
+            ids = [enc.word(w) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+
+    table = mapped(words.select("word").distinct(), encoded, "word binary, ids array<int>")
+    pieces = spark.createDataFrame(list(enumerate(map(bytearray, encoder(path).pieces))), "id int, piece binary")  # a row per id of the vocabulary
+    each = table.select("word", F.posexplode("ids").alias("k", "id")).join(F.broadcast(pieces), "id")
+    entries = each.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("k", "id", "piece"))).alias("e"))
+    return entries.select("word", F.col("e.id").alias("ids"), F.aggregate("e", F.lit(b""), lambda out, e: F.concat(out, e["piece"])).alias("decoded"))
+
+
+def coded(df: DataFrame, path: str, text: str, run: Callable, schema: StructType) -> DataFrame:
+    """run(rows, ids, ids per row, decoded bytes, decoded bytes per row) of every slice's rows, as a table of the schema."""
+    spark = df.sparkSession
+    prepared(spark)
+    # dealt out once: the exchange serves both the split and the join back
+    parts = sliced(df, text).repartition("slice")
+
+    def split(batches):
         enc = encoder(path)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            data, offsets = buffers(column)
-            for a, b, d, o in slices(data, offsets):
-                ids, counts = enc.encode(d, o)
-                raw, cuts = d.tobytes(), o.tolist()
-                same = [raw[x:y] == t.encode() for x, y, t in zip(cuts[:-1], cuts[1:], enc.decode(ids, counts))]
-                lists = pa.ListArray.from_arrays(pa.array(row_starts(counts), pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)).slice(a, b - a) for n in names), lists, pa.array(same)], [*names, "token_ids", "round_trip"])
+            for at, docs in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = opened(docs.as_buffer())
+                data, offsets = buffers(rows.column(rows.schema.get_field_index(text)))
+                starts, ends = enc.split(data, offsets)
+                first, _ = distinct_spans(data, starts, ends)
+                size = (ends - starts)[first]
+                column = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(row_starts(size)), pa.py_buffer(ragged(data, starts[first], size))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), at)), pa.array(np.arange(len(first), dtype=np.int32)), column], ["slice", "n", "word"])
+
+    # by word once, for the distinct words and for the join
+    words = mapped(parts, split, WORDS).repartition("word")
+    table = word_table(words, path)
+    found = words.hint("merge").join(table, "word").select("slice", "n", "ids", "decoded")
+
+    def fill(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        order = pc.sort_indices(right.column(1)) if right.num_rows else None
+        for docs in left.column(1):
+            rows = opened(docs.as_buffer())
+            data, offsets = buffers(rows.column(rows.schema.get_field_index(text)))
+            starts, ends = encoder(path).split(data, offsets)
+            if len(starts):
+                first, number = distinct_spans(data, starts, ends)
+                edges = np.searchsorted(starts, offsets)
+                if right.num_rows != len(first):
+                    raise RuntimeError(f"a slice has {len(first)} words, the table gave {right.num_rows}")
+                ids, per = _laid(right.column(2).take(order), number, edges, pa.list_(pa.int32()))
+                back, size = _laid(right.column(3).take(order), number, edges, pa.binary())
+            else:
+                ids, per, back, size = np.zeros(0, np.int32), np.zeros(rows.num_rows, np.int64), np.zeros(0, np.uint8), np.zeros(rows.num_rows, np.int64)
+            out.append(run(rows, ids, per, back, size))
+        trim()
+        return pa.Table.from_batches(out)
+
+    return parts.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(fill, schema)
+
+
+def _laid(column: pa.ChunkedArray, number: np.ndarray, edges: np.ndarray, kind: pa.DataType) -> tuple[np.ndarray, np.ndarray]:
+    """The values of words, one row of the column each, at the words' positions, and how many each text has."""
+    one = column.combine_chunks()
+    one = pa.concat_arrays(one.chunks) if isinstance(one, pa.ChunkedArray) else one
+    if pa.types.is_list(kind):
+        cuts, pool = one.offsets.to_numpy().astype(np.int64), one.values.to_numpy(zero_copy_only=False)
+    else:
+        one = one.cast(pa.large_binary())
+        cuts = np.frombuffer(one.buffers()[1], np.int64)[one.offset : one.offset + len(one) + 1]
+        pool = np.frombuffer(one.buffers()[2], np.uint8) if one.buffers()[2] is not None else np.zeros(0, np.uint8)
+    each = np.diff(cuts)[number]
+    return ragged(pool, cuts[:-1][number], each), np.diff(row_starts(each)[edges])
+
+
+def _lists(ids: np.ndarray, per: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(row_starts(per), pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _texts(back: np.ndarray, size: np.ndarray) -> Iterator[str]:
+    """Decoded texts; broken UTF-8 becomes U+FFFD."""
+    raw, cuts = back.tobytes(), row_starts(size).tolist()
+    return (raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:]))
+
+
+def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+    """df with a column of token ids (array<int>); an empty or null text has none."""
+    names = [f.name for f in df.schema.fields if f.name != ids]
+
+    def run(rows, found, per, back, size):
+        return pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(n)) for n in names), _lists(found, per)], [*names, ids])
+
+    return coded(df.select(*[f"`{n}`" for n in names]), path, text, run, typed(df, tuple(names), f"`{ids}` array<int>"))
+
+
+def encode_checked(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """df with token_ids and round_trip (whether they decode to the text)."""
+    names = [f.name for f in df.schema.fields if f.name not in ("token_ids", "round_trip")]
+
+    def run(rows, ids, per, back, size):
+        data, offsets = buffers(rows.column(rows.schema.get_field_index(text)))
+        raw, cuts = data.tobytes(), offsets.tolist()
+        same = [raw[x:y] == t.encode() for x, y, t in zip(cuts[:-1], cuts[1:], _texts(back, size))]
+        return pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(n)) for n in names), _lists(ids, per), pa.array(same, pa.bool_())], [*names, "token_ids", "round_trip"])
 
-    return mapped(df.select(*[f"`{n}`" for n in names]), run, typed(df, tuple(names), "token_ids array<int>, round_trip boolean"))
+    return coded(df.select(*[f"`{n}`" for n in names]), path, text, run, typed(df, tuple(names), "token_ids array<int>, round_trip boolean"))
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -281,81 +390,12 @@ def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", text: str = "de
 
 
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of each row: encoded, decoded again and digested in one pass."""
-    prepared(df.sparkSession)
+    """(key, n_tokens, ids_sha256, decoded_sha256) of each row."""
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
-    def run(batches):
-        enc = encoder(path)
-        for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            for a, b, d, o in slices(data, offsets):
-                ids, counts = enc.encode(d, o)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        pa.array(counts, pa.int64()),
-                        pa.array([sha(x) for x in enc.decimal(ids, counts)], pa.string()),
-                        pa.array([sha(x.encode()) for x in enc.decode(ids, counts)], pa.string()),
-                    ],
-                    [key, "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return mapped(df.select(f"`{key}`", f"`{text}`"), run, typed(df, (key,), "n_tokens long, ids_sha256 string, decoded_sha256 string"))
-
-
-def joined_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """digests by a Spark table of distinct words, each encoded once, that positions are joined with; ids are decoded by a join
-    with the table of pieces. Every position of the corpus is shuffled, so this serves as the measure of digests, not as its way."""
-    spark = df.sparkSession
-    prepared(spark)
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    def run(rows, ids, per, back, size):
+        found = [pa.array([sha(x) for x in encoder(path).decimal(ids, per)], pa.string()), pa.array([sha(x.encode()) for x in _texts(back, size)], pa.string())]
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(per, pa.int64()), *found], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    def split(enc, data, offsets):
-        """(starts, ends, hashes, words per row); a row with a special token is one word."""
-        starts = split_words(data, offsets)
-        raw = data.tobytes()
-        whole = [k for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())) if any(x.encode() in raw[a:b] for x in enc.special)]
-        for k in whole:
-            starts = starts[(starts <= offsets[k]) | (starts >= offsets[k + 1])]
-        ends = np.append(starts[1:], len(data))[: len(starts)]
-        return starts, ends, span_hashes(byte_codes()[data], starts, ends).view(np.int64), np.diff(np.searchsorted(starts, offsets))
-
-    def words(batches):
-        enc = encoder(path)
-        for batch in batches:
-            for _, _, d, o in slices(*buffers(batch.column(1))):
-                starts, ends, h, _ = split(enc, d, o)
-                new, at = np.unique(h, return_index=True)
-                raw = d.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(new), pa.array([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())], pa.binary())], ["h", "word"])
-
-    def encoded(batches):
-        enc = encoder(path)
-        for batch in batches:
-            data, offsets = buffers(batch.column(1).cast(pa.string()))
-            ids = [enc.encode(data[a:b], np.array([0, b - a]))[0].tolist() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["h", "ids"])
-
-    def places(batches):
-        enc, at = encoder(path), TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for a, b, d, o in slices(*buffers(batch.column(1))):
-                _, _, h, counts = split(enc, d, o)
-                row = np.arange(at, at + b - a)
-                at += b - a
-                place = np.arange(len(h)) - np.repeat(row_starts(counts)[:-1], counts)
-                # a first entry of each row carries its key
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.full(b - a, -1)), pa.nulls(b - a, pa.int64()), batch.column(0).slice(a, b - a)], ["row", "place", "h", "_key"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row, counts)), pa.array(place), pa.array(h), pa.nulls(len(h), batch.column(0).type)], ["row", "place", "h", "_key"])
-
-    table = mapped(mapped(rows, words, "h long, word binary").groupBy("h").agg(F.first("word").alias("word")), encoded, "h long, ids array<int>")
-    at = mapped(rows, places, StructType([*StructType.fromDDL("row long, place long, h long").fields, rows.schema["_key"]]))
-    found = at.join(table, "h", "left").select("row", "place", "_key", F.posexplode_outer("ids").alias("k", "id"))
-    enc = encoder(path)
-    cuts = row_starts(enc.piece_len).tolist()
-    raw = enc.piece_pool.tobytes()
-    pieces = spark.createDataFrame([(i, raw[a:b].hex()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))], "id int, piece string")
-    entry = F.when(F.col("id").isNotNull(), F.struct("place", "k", "id", "piece"))
-    out = found.join(F.broadcast(pieces), "id", "left").groupBy("row").agg(F.max("_key").alias(key), F.array_sort(F.collect_list(entry)).alias("e"))
-    return out.select(key, F.size("e").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("e.id").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(F.unhex(F.array_join("e.piece", "")), 256).alias("decoded_sha256"))
+    named = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
+    return coded(named, path, "_text", run, StructType([df.select(F.col(f"`{key}`").alias(key)).schema[0], *StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string").fields]))

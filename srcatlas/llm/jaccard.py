@@ -11,18 +11,24 @@ order; fragments' partial overlaps are counted separately and summed per pair.
    sorted exchange. In the order of how many sets share a fragment, the first that
    a pair shares is among the first d + 1 of both: only these make candidates, so
    fragments of passages that many documents share drop out of documents that
-   have enough of their own. A star joins the sets of a fragment: as many rows as
-   members, never their pairs. A set with too few non-empty fragments for the
-   argument also sends its empty ones, and keeps all.
-2. Documents that a star connects form candidate groups. Only their sets travel.
-3. Within a group, blocks of at most BLOCK sets meet pairwise. Block by block the
-   order is cut into fragments, the partial overlaps of all pairs in a fragment
-   are counted with one sparse product, and the sums decide with integers. Only
-   edges that connect the same sets leave a block pair, one per set.
+   have enough of their own. A set with too few non-empty fragments for the
+   argument also sends its empty ones, and keeps all. Rows of a fragment are as many
+   as members, never their pairs.
+2. Each set is compared with one of its fragments' centres first, the one that it
+   shares most candidate fragments with. What links is joined, so a group of copies
+   is one component from here on, and its fragments are done.
+3. Only fragments whose members are in several components are left; of fragments
+   with the same members one is. Its members are cut into blocks of at most BLOCK
+   sets that meet pairwise, those of a component that fills blocks of its own only
+   with the others. Block by block the order is cut into fragments, the partial
+   overlaps of all pairs in a fragment are counted, and the sums decide with
+   integers. Only edges that connect the same sets leave a block pair, one per set.
 4. Components of the links; equal sets (same hash of the whole set) are one node.
 
-No candidate is dropped and no group is collected in one task: a group of m sets
-is (m / BLOCK)**2 / 2 tasks' work. Sets and n-grams are told apart by 64-bit hashes.
+No candidate is dropped, and no fragment is collected in one task: one with m
+members costs at most (m / BLOCK)**2 / 2 block pairs, spread over tasks, whatever
+the fragments that chain it to others. Sets and n-grams are told apart by 64-bit
+hashes of their content (words by chained mixing, see text.py).
 
 null or wordless text: an empty set, linked with nothing; its component is its own
 id. Fewer than n words: one n-gram of all words. Repeated rows are equal sets;
@@ -39,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .shared import mapped, prepared, written
+from .shared import hot_keys, mapped, prepared, salted_join, written
 from .text import U64, buffers, mix, ragged, row_starts, signed, slices, word_hashes
 
 #: Sets and n-grams in a block; fragments of the order that are counted one after the other in a block pair.
@@ -225,12 +231,16 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     table = written(mapped(own, summary, "_key long, n_shingles long, sig long"), "sets")
 
     def keys(batches):
+        known: set[int] = set()  # the sets whose fragments this task has sent: copies send none
         for batch in batches:
             data, offsets = buffers(batch.column(0))
             for _, _, d, o in slices(data, offsets):
                 g, counts = set_hashes(d, o, n)
+                own_sig = signatures(g, counts)
+                fresh = np.array([counts[r] > 0 and not (s in known or known.add(s)) for r, s in enumerate(own_sig.tolist())], bool)
+                g, counts, own_sig = g[np.repeat(fresh, counts)], counts[fresh], own_sig[fresh]
                 row, step, k, quota, sent = fragment_keys(g, counts, percent)
-                sig = signatures(g, counts)[row] | step.astype(U64)
+                sig = own_sig[row] | step.astype(U64)
                 # quota and sent are functions of the set; they travel as their difference, and only matter where fragments meet
                 yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(signed(sig)), pa.array((sent - quota).astype(np.int32))], ["k", "sig", "spare"])
 
@@ -291,12 +301,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     ranked = met.withColumn("rank", F.row_number().over(own_order)).withColumn("n", F.count("*").over(Window.partitionBy("sig")))
     # fragments that no other set has come first and make no candidates: of n shared ones, n - spare are left
     kept = written(ranked.where(F.col("rank") <= F.col("n") - F.col("spare")).select("k", F.col("sig").bitwiseAND(F.lit(~3)).alias("sig")), "candidates")
-    centres = kept.groupBy("k").agg(F.min("sig").alias("b"), F.max("sig").alias("_top")).where("b <> _top").select("k", "b")
-    stars = kept.join(centres, "k").where("sig <> b").select(F.col("sig").alias("a"), "b").distinct()
-    groups = written(components(stars).select(F.col("node").alias("sig"), F.col("component").alias("grp")), "groups")
-
-    # one document for each set that is in a group; its text is read again
-    chosen = table.join(groups, "sig").groupBy("sig").agg(F.min(F.struct(F.col("_key").isNull(), "_key")).alias("k"), F.first("grp").alias("grp"), F.first("n_shingles").alias("n_shingles")).select("sig", "grp", "n_shingles", F.col("k._key").alias("_key"))
+    # one row per distinct set, with its rows; a set with a third of all rows is combined before the shuffle
+    distinct = written(table.where("sig <> 0").groupBy("sig").agg(F.count("*").alias("m"), F.min("_key").alias("least"), F.min(F.struct(F.col("_key").isNull(), "_key")).alias("doc"), F.first("n_shingles").alias("n_shingles")), "distinct")
+    fragments_of = kept.groupBy("k").agg(F.min("sig").alias("centre"), F.max("sig").alias("top"), F.count("*").alias("m")).where("centre <> top")
+    fragments_of = written(fragments_of.select("k", "centre", "m"), "fragments")
+    in_common = written(salted_join(kept, fragments_of.select("k", "centre"), "k", hot_keys(fragments_of, "k", "m")), "in-common")
+    involved = in_common.select("sig").distinct()
 
     def grams(batches):
         for batch in batches:
@@ -306,25 +316,61 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
                 e = row_starts(counts).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(signed(signatures(g, counts))), pa.array([g[x:y].tobytes() for x, y in zip(e[:-1], e[1:])], pa.binary())], ["sig", "grams"])
 
+    # one document for each set that has a candidate; its text is read again
+    chosen = distinct.join(involved, "sig").select("sig", "n_shingles", F.col("doc._key").alias("_key"))
     texts = own.join(chosen.select("_key").distinct(), own["_key"].eqNullSafe(chosen["_key"]), "left_semi").select("_text")
-    sets = mapped(texts, grams, "sig long, grams binary")
-    placed = written(chosen.select("sig", "grp", "n_shingles"), "chosen")
-    numbered = _numbered(placed)
-    last = numbered.groupBy("grp").agg(F.max("i").alias("top"))
-    members = written(numbered.join(last, "grp").join(sets, "sig").groupBy("sig").agg(F.first("grp").alias("grp"), F.first("i").alias("i"), F.first("top").alias("top"), F.first("grams").alias("grams")), "members")
-    blocks = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("top")))).select(
-        "grp", F.least("i", "other").alias("i"), F.greatest("i", "other").alias("j"), (F.col("i") > F.col("other")).cast("int").alias("side"), "sig", "grams"
-    )
-    linked = components(_links(blocks, percent)).select(F.col("node").alias("sig"), F.col("component").alias("class"))
-    named = table.where("sig <> 0").join(linked, "sig", "left").select("_key", "n_shingles", F.coalesce("class", "sig").alias("class"))
-    smallest = named.groupBy("class").agg(F.min("_key").alias("component_id"))
-    full = named.join(smallest, "class").select(F.col("_key").alias(key), "n_shingles", "component_id")
+    sets = mapped(texts, grams, "sig long, grams binary").groupBy("sig").agg(F.first("grams").alias("grams"))
+    members = written(chosen.select("sig", "n_shingles").join(sets, "sig"), "members")
+    sizes = members.select("sig", "n_shingles")
+
+    # each set with the centre that it shares most with
+    near = in_common.where("sig <> centre").groupBy("sig", "centre").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "centre")).alias("b")).select("sig", F.col("b.centre").alias("grp"))
+    near = written(_numbered(near.join(sizes, "sig")).select("grp", "sig", (F.col("i") + 1).alias("j")), "near")
+    ends = near.select("grp", F.lit(0).alias("i"), "j", F.lit(1).alias("side"), "sig").unionByName(near.select("grp", F.lit(0).alias("i"), "j", F.lit(0).alias("side"), F.col("grp").alias("sig")).distinct())
+    first = written(_links(ends.join(members, "sig").select("grp", "i", "j", "side", "sig", "grams"), percent), "first-links")
+    joined = components(first).select(F.col("node").alias("sig"), F.col("component").alias("class"))
+
+    # fragments whose members are in several components, one of those with the same members
+    marked = written(in_common.select("k", "sig").join(joined, "sig", "left").join(sizes, "sig").select("k", "sig", F.coalesce("class", "sig").alias("class"), "n_shingles"), "marked")
+    same = [F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y"), F.count("*").alias("m"), F.min("sig").alias("lo"), F.max("sig").alias("hi")]
+    open_ = marked.groupBy("k").agg(*same, F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
+    open_ = written(open_.groupBy("x", "y", "m", "lo", "hi").agg(F.min("k").alias("k")).select("k", "m"), "open")
+    left = written(salted_join(marked, open_.select("k"), "k", hot_keys(open_, "k", "m")).withColumnRenamed("k", "grp"), "left")
+    second = _links(_met(left).join(members.select("sig", "grams"), "sig").select("grp", "i", "j", "side", "sig", "grams"), percent)
+
+    linked = components(first.unionByName(second)).select(F.col("node").alias("sig"), F.col("component").alias("class"))
+    named = written(distinct.join(linked, "sig", "left").select("sig", "m", "least", F.coalesce("class", "sig").alias("class")), "named")
+    classes = written(named.groupBy("class").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "classes")
+    found = salted_join(named.select("sig", "class"), classes.select("class", "component_id"), "class", hot_keys(classes, "class", "n"))
+    full = salted_join(table.where("sig <> 0"), found.select("sig", "component_id"), "sig", hot_keys(named, "sig", "m"))
+    full = full.select(F.col("_key").alias(key), "n_shingles", "component_id")
     return full.unionByName(table.where("sig = 0").select(F.col("_key").alias(key), "n_shingles", F.col("_key").alias("component_id")))
 
 
+def _blocks(m, grams):
+    return F.greatest(F.lit(1), F.ceil(m / BLOCK), F.ceil(grams / BLOCK_GRAMS)).cast("int")
+
+
 def _numbered(placed: DataFrame) -> DataFrame:
     """placed (sig, grp, n_shingles) with the number i of its block in its group, by hash: a group of any size is
     numbered without a task that holds it."""
-    counts = placed.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("grams"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    return placed.join(counts, "grp").select("sig", "grp", F.pmod(F.xxhash64("sig"), blocks).cast("int").alias("i"))
+    counts = written(placed.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("grams")), "groups")
+    dealt = salted_join(placed, counts.select("grp", _blocks(F.col("m"), F.col("grams")).alias("n")), "grp", hot_keys(counts, "grp", "m"))
+    return dealt.select("sig", "grp", F.pmod(F.xxhash64("sig"), F.col("n")).cast("int").alias("i"))
+
+
+def _met(left: DataFrame) -> DataFrame:
+    """(grp, i, j, side, sig) of the block pairs of each group of left (grp, sig, class, n_shingles). The largest class,
+    if it fills more than a block, has blocks of its own, which meet only the others'."""
+    per = written(left.groupBy("grp", "class").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("grams")), "parts")
+    groups = per.groupBy("grp").agg(F.max(F.struct("m", "class", "grams")).alias("top"), F.sum("m").alias("m"), F.sum("grams").alias("grams"))
+    apart = F.col("top.m") > BLOCK
+    rest = [F.col(c) - F.when(apart, F.col(f"top.{c}")).otherwise(0) for c in ("m", "grams")]
+    groups = groups.select("grp", "m", F.when(apart, F.col("top.class")).alias("big"), _blocks(*rest).alias("n"), F.when(apart, _blocks(F.col("top.m"), F.col("top.grams"))).otherwise(0).alias("n_big"))
+    groups = written(groups, "parts")
+    dealt = salted_join(left, groups.drop("m"), "grp", hot_keys(groups, "grp", "m"))
+    inside = F.coalesce(F.col("class") == F.col("big"), F.lit(False))
+    i = F.when(inside, F.col("n") + F.pmod(F.xxhash64("sig"), F.greatest("n_big", F.lit(1)))).otherwise(F.pmod(F.xxhash64("sig"), F.col("n"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(inside, F.col("n")).otherwise(F.col("n") + F.col("n_big")) - 1)
+    placed = dealt.withColumn("i", i).withColumn("o", F.explode(others))
+    return placed.select("grp", F.least("i", "o").cast("int").alias("i"), F.greatest("i", "o").cast("int").alias("j"), (F.col("i") > F.col("o")).cast("int").alias("side"), "sig")

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bounds of one Arrow batch, so that long documents cannot fill a Python worker.
@@ -18,9 +19,13 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a temporary one."""
+    """The folder named by spark.checkpoint.dir; where it is unset, a temporary one on a local master (tests), and an
+    error elsewhere: machines of a cluster would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="srcatlas-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -46,9 +51,11 @@ def deleted(spark: SparkSession, path: str) -> None:
 
 
 def prepared(spark: SparkSession) -> None:
-    """Bounds Arrow batches and lets executors import this package where PYTHONPATH does not name it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bounds Arrow batches, where the session sets no bounds of its own, and lets executors import this package where
+    PYTHONPATH does not name it. Frames run later than they are built, so the bounds stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     sc = spark.sparkContext
     if root in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_srcatlas_sent", False):
@@ -86,6 +93,26 @@ def mapped(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
     return df.mapInArrow(frugal, schema)
 
 
+#: A key with more than this share of the rows is hot (so there are at most 1 / HOT of them); salts of a hot key.
+HOT, SALTS = 1 / 512, 64
+
+
+def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """The hot keys of counts (key, n): at most 1 / HOT rows, so they can be broadcast."""
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    return counts.where(F.col(n) > max(total * HOT, SALTS)).select(key)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined with right (a row per key) on the key, where the rows of hot keys are dealt to SALTS tasks each."""
+    marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(SALTS))).otherwise(0).cast("int")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    a = left.join(marks, key, "left").withColumn("_salt", spread).drop("_hot")
+    b = right.join(marks, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return a.join(b, [key, "_salt"], how).drop("_salt")
+
+
 def typed(df: DataFrame, keep: tuple[str, ...], more: str) -> StructType:
     """The schema of df's columns `keep` followed by those of a DDL string."""
     return StructType([df.schema[c] for c in keep] + StructType.fromDDL(more).fields)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,6 @@ import pyarrow.compute as pc
 #: A slice of a batch holds at most so many bytes of text (one longer document stands alone).
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
-_R = U64(0x9E3779B97F4A7C15 | 1)
-_R_INV = U64(pow(int(_R), -1, 1 << 64))
 #: White space of the word pattern [^\x20\x09-\x0D]+.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -32,31 +30,83 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@cache
-def byte_codes() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
-
-
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_R**j and its inverse for j < n."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 16)
-        for k, base in enumerate((_R, _R_INV)):
-            x = np.full(size, base, U64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
+#: Spans of more bytes than this are hashed one by one.
+_LONG = 64
+_LENGTHS, _MULTIPLY = U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93)
+
+
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as one integer (bytes past the end are 0)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes that depends on its content only: a chain of its eight-byte blocks, each
+    mixed in by a bijection, so spans of one block and equal length never share a hash. Long spans take BLAKE2b."""
+    size = ends - starts
+    h = mix(size.astype(U64) * _LENGTHS + U64(0x2545F4914F6CDD1D))
+    at8 = blocks(data)
+    left, at, who = size, starts, None  # who: the spans that go on (None: all)
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        who = np.flatnonzero(size <= _LONG)
+        left, at = size[who], starts[who]
+    while len(left):
+        keep = (np.minimum(left, 8).astype(U64)) << U64(3)
+        block = at8[at] & np.where(keep < 64, (U64(1) << (keep & U64(63))) - U64(1), U64(0xFFFFFFFFFFFFFFFF))
+        if who is None:
+            h = mix((h ^ block) * _MULTIPLY)
+        else:
+            h[who] = mix((h[who] ^ block) * _MULTIPLY)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        who = more if who is None else who[more]
+        left, at = left[more] - 8, at[more] + 8
+    for k in long.tolist():
+        h[k] = int.from_bytes(blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of `size` bytes from a and from b on are equal, by their bytes."""
+    at8 = blocks(data)
+    out = np.ones(len(a), bool)
+    long = size > _LONG
+    for k in np.flatnonzero(long & (a != b)).tolist():
+        out[k] = bool((data[a[k] : a[k] + size[k]] == data[b[k] : b[k] + size[k]]).all())
+    who = np.flatnonzero(~long & (a != b) & (size > 0))
+    done = 0
+    while len(who):
+        left = size[who] - done
+        x = at8[a[who] + done] ^ at8[b[who] + done]
+        keep = np.minimum(left, 8).astype(U64) << U64(3)
+        x &= np.where(keep < 64, (U64(1) << (keep & U64(63))) - U64(1), U64(0xFFFFFFFFFFFFFFFF))
+        out[who] &= x == 0
+        who, done = who[left > 8], done + 8
+    return out
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of codes that depends on its content only, from one prefix sum."""
-    up, down = powers(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, U64)
-    np.cumsum(codes * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0x9FB21C651E98DF25))
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of each distinct span, in the order of first places; number of each span's distinct one), by bytes:
+    spans that share a hash are compared."""
+    number = pa.array(span_hashes(data, starts, ends)).dictionary_encode().indices.to_numpy()
+    first = np.zeros(int(number.max()) + 1 if len(number) else 0, np.int64)
+    first[number[::-1]] = np.arange(len(number))[::-1]
+    size = ends - starts
+    rep = first[number]
+    odd = (size != size[rep]) | ~same_spans(data, starts, starts[rep], np.minimum(size, size[rep]))
+    if odd.any():  # two contents of one hash: these few by a table of their bytes
+        number, known, more = number.astype(np.int64), {}, []
+        for k in np.flatnonzero(odd).tolist():
+            word = data[starts[k] : ends[k]].tobytes()
+            if word not in known:
+                known[word] = len(first) + len(more)
+                more.append(k)
+            number[k] = known[word]
+        first = np.concatenate([first, np.array(more, np.int64)])
+    return first, number
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +153,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words, their starts and ends, and the number per row."""
     starts, ends, counts = words(data, offsets)
-    return span_hashes(byte_codes()[LOWER[data]], starts, ends), starts, ends, counts
+    return span_hashes(LOWER[data], starts, ends), starts, ends, counts
 
 
 def row_starts(counts: np.ndarray) -> np.ndarray:

@@ -300,11 +300,23 @@ def test_estimates_are_unbiased_and_bounded():
     x = rng.standard_normal((300, 64))
     x[150:] = x[:150] + 0.4 * rng.standard_normal((150, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    signs, factor, turned = embed.codes(x)
-    guess, bound = embed.estimates(signs, factor, turned)
+    signs, factor, low, step = embed.codes(x)
+    guess, bound = embed.estimates(signs, factor, low, step, embed.CODE)
     off = guess - x @ x.T
     np.fill_diagonal(off, 0)
-    assert abs(off.mean()) < 0.01 and (np.abs(off) <= bound[:, None] + 1e-6).all()
+    assert abs(off.mean()) < 0.01 and (np.abs(off) <= bound + 1e-6).all()
+
+
+@pytest.mark.parametrize("d", [64, 128, 300, 1024])
+def test_vectors_of_many_dimensions(spark, d):
+    """v and -v never link, whatever their length; nor do vectors that differ by a swap of two components' signs."""
+    rng = np.random.default_rng(d)
+    v = rng.standard_normal(d)
+    even = np.where(np.array([bin(k).count("1") for k in range(d)]) % 2, 1.0, -1.0)
+    vectors = [v, -v, even, -even, v + rng.standard_normal(d) * 0.05, 2 * v, v.copy()]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed.near_duplicates(df).collect()}
+    assert got == {0: (3, 0), 1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (3, 0), 5: (3, 0), 6: (3, 0)}
 
 
 # 5
@@ -380,9 +392,39 @@ def test_encoder_equals_the_tokenizer(tokenizer):
     assert list(enc.decode(ids, counts)) == [t or "" for t in texts]
 
 
-def test_bpe_by_a_table_of_distinct_words(spark, docs):
-    rows = lambda df: Counter(tuple(r) for r in df.collect())
-    assert rows(bpe.joined_digests(docs, vocabulary())) == rows(bpe.digests(docs, vocabulary()))
+def swapped(n):
+    """A word of n letters a and b after Thue and Morse, and the word with a and b swapped."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [64, 65, 1024, 8192])
+def test_words_that_sums_confuse(spark, tokenizer, n):
+    """Words that collide under polynomial hashes are told apart by every operator that hashes words."""
+    pair = swapped(n)
+    texts = [*pair, f"x {pair[0]} y", f"x {pair[1]} y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    h, *_ = word_hashes(*buffers(pa.array(texts)))
+    assert len(set(h.tolist())) == 4
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    sha = lambda ids: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert {r.doc_id: r.ids_sha256 for r in bpe.digests(df, vocabulary()).collect()} == {k: sha(w) for k, w in enumerate(want)}
+    crc = {r.doc_id: r.ids_crc32 for r in planes.round_trip(df, vocabulary()).collect()}
+    assert crc == {k: zlib.crc32(np.array([*w, 0], "<u4").tobytes()) for k, w in enumerate(want)}
+    assert {r.doc_id: r.component_id for r in jaccard.join(df, n=4, percent=85).collect()} == {k: k for k in range(4)}
+    scored = lm.score(df, held_out=F.col("doc_id") == 1)
+    assert {r.doc_id: r.n_known for r in scored.collect()} == {0: 2, 1: 2, 2: 4, 3: 4}
+
+
+def test_distinct_spans_compare_bytes(monkeypatch):
+    """Spans that share a hash stay apart."""
+    from srcatlas.llm import text as T
+
+    monkeypatch.setattr(T, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    words = [b"aa", b"ab", b"aa", b"x" * 70, b"x" * 69 + b"y", b"x" * 70, b"a", b"ab", b"12345678", b"12345678Z"]
+    data, edges = np.frombuffer(b"".join(words), np.uint8), row_starts(np.array([len(w) for w in words]))
+    first, number = T.distinct_spans(data, edges[:-1], edges[1:])
+    assert [words[f] for f in first] == list(dict.fromkeys(words)) and [words[first[k]] for k in number] == words
 
 
 def test_bpe(spark, docs, none, tokenizer):
