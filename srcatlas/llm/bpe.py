@@ -2,13 +2,13 @@
 
 1. Texts go in slices of about SLICE bytes, which one exchange deals out. Each is
    split into words (pre-tokens) with array operations; a slice sends each of its
-   distinct words once, with its number in the slice.
-2. The words of all slices become one table of distinct words, keyed by their
-   bytes (no hash stands for a word). Each is encoded once; its ids are decoded by
-   a join with the table of pieces (as many rows as the vocabulary).
-3. The table is joined back to (slice, number), and within each slice ids and
-   pieces return to their positions by an indexed copy. What moves is each slice
-   once and its distinct words, never a row per position.
+   distinct words once, to the word's hash partition, packed by partition.
+2. A partition is its part of the table of distinct words, keyed by their bytes (no
+   hash stands for a word): each word of the corpus is encoded once, in one place.
+3. A slice gets the ids of its words back, in the order in which it sent them, and
+   they return to their positions by an indexed copy. Ids meet the table of pieces
+   (as many rows as the vocabulary) by index to be decoded. What moves is each slice
+   once, its distinct words and their ids, never a row per position.
 
 `Encoder` alone, with a bounded table of words in each worker, serves streams that
 cannot wait for a join (files of ids, see planes.py).
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .shared import mapped, prepared, trim, typed
-from .text import buffers, distinct_spans, ragged, row_starts, slices
+from .text import blocks, buffers, distinct_spans, ragged, row_starts, slices, span_hashes
 
 #: Bytes of text in a slice (one longer text stands alone); bytes of words that a worker's own table holds before it starts anew.
 SLICE, HELD_BYTES = 8 << 20, 16 << 20
@@ -140,7 +140,6 @@ class Encoder:
         pieces = [b""] * size
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             pieces[i] = token.encode() if token in self.special else bytes(to_byte[c] for c in token)
-        self.pieces = pieces
         self.piece_len = np.array([len(p) for p in pieces], np.int64)
         self.piece_at = row_starts(self.piece_len)[:-1]
         self.piece_pool = np.frombuffer(b"".join(pieces), np.uint8)
@@ -224,7 +223,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-WORDS = "slice long, n int, word binary"
+PACKED = "slice long, part int, n int, size long, data binary"
 
 
 def sliced(df: DataFrame, text: str) -> DataFrame:
@@ -262,29 +261,42 @@ def opened(docs: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(docs).read_all().combine_chunks().to_batches()[0]
 
 
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids, decoded): each distinct word of words (word) encoded once, and its ids joined with the table of pieces."""
-    spark = words.sparkSession
+def dealt(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, edges, number): the first places of the distinct words by partition (and within one by their first
+    letters, which packs them well), where each partition begins, and which of these each word is."""
+    first, number = distinct_spans(data, starts, ends)
+    part = ((span_hashes(data, starts[first], ends[first]) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    letters = blocks(data)[starts[first]].astype("<u8").byteswap()
+    order = np.lexsort((letters, part))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return first[order], np.searchsorted(part[order], np.arange(parts + 1)), place[number]
 
-    def encoded(batches):
-        enc = encoder(path)
-        for batch in batches:
-            ids = [enc.word(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    table = mapped(words.select("word").distinct(), encoded, "word binary, ids array<int>")
-    pieces = spark.createDataFrame(list(enumerate(map(bytearray, encoder(path).pieces))), "id int, piece binary")  # a row per id of the vocabulary
-    each = table.select("word", F.posexplode("ids").alias("k", "id")).join(F.broadcast(pieces), "id")
-    entries = each.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("k", "id", "piece"))).alias("e"))
-    return entries.select("word", F.col("e.id").alias("ids"), F.aggregate("e", F.lit(b""), lambda out, e: F.concat(out, e["piece"])).alias("decoded"))
+def packed(size: np.ndarray, pool: np.ndarray) -> tuple[int, bytes]:
+    """Sizes and values, compressed, and the bytes before that."""
+    wide = np.min_scalar_type(int(size.max(initial=0))).itemsize
+    raw = bytes([wide]) + size.astype(f"<u{wide}").tobytes() + pool.tobytes()
+    return len(raw), pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
+def unpacked(n: int, length: int, data: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    raw = pa.Codec("zstd").decompress(data, length, asbytes=True)
+    wide = raw[0]
+    return np.frombuffer(raw, f"<u{wide}", n, 1).astype(np.int64), np.frombuffer(raw, kind, offset=1 + n * wide)
 
 
 def coded(df: DataFrame, path: str, text: str, run: Callable, schema: StructType) -> DataFrame:
-    """run(rows, ids, ids per row, decoded bytes, decoded bytes per row) of every slice's rows, as a table of the schema."""
+    """run(rows, ids, ids per row) of every slice's rows, as a table of the schema."""
     spark = df.sparkSession
     prepared(spark)
-    # dealt out once: the exchange serves both the split and the join back
-    parts = sliced(df, text).repartition("slice")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # dealt out once: the exchange serves both the split and the way back
+    slices_of = sliced(df, text).repartition("slice")
+    names = [f.split()[0] for f in PACKED.split(", ")]
+
+    def row(at, part, n, size, data):
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], names)
 
     def split(batches):
         enc = encoder(path)
@@ -293,68 +305,71 @@ def coded(df: DataFrame, path: str, text: str, run: Callable, schema: StructType
                 rows = opened(docs.as_buffer())
                 data, offsets = buffers(rows.column(rows.schema.get_field_index(text)))
                 starts, ends = enc.split(data, offsets)
-                first, _ = distinct_spans(data, starts, ends)
-                size = (ends - starts)[first]
-                column = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(row_starts(size)), pa.py_buffer(ragged(data, starts[first], size))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), at)), pa.array(np.arange(len(first), dtype=np.int32)), column], ["slice", "n", "word"])
+                order, edges, _ = dealt(data, starts, ends, parts)
+                size = (ends - starts)[order]
+                out = []
+                for k in np.flatnonzero(np.diff(edges)).tolist():
+                    a, b = edges[k], edges[k + 1]
+                    out.append(row(at, k, b - a, *packed(size[a:b], ragged(data, starts[order[a:b]], size[a:b]))))
+                if out:
+                    yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
-    # by word once, for the distinct words and for the join
-    words = mapped(parts, split, WORDS).repartition("word")
-    table = word_table(words, path)
-    found = words.hint("merge").join(table, "word").select("slice", "n", "ids", "decoded")
+    def encoded(batches):
+        """The ids of every row's words; the table of this partition's distinct words grows as they come."""
+        enc, table = encoder(path), {}
+        for batch in batches:
+            out = []
+            for at, part, n, size, data in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                sizes, pool = unpacked(n, size, data, "u1")
+                raw, cuts = pool.tobytes(), row_starts(sizes).tolist()
+                ids = []
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    word = raw[a:b]
+                    found = table.get(word)
+                    if found is None:
+                        found = table[word] = np.array(enc.word(word), "<i4").tobytes()
+                    ids.append(found)
+                count = np.fromiter(map(len, ids), np.int64, n) // 4
+                flat = np.frombuffer(b"".join(ids), "<i4")
+                # the bytes of ids by significance: the upper ones are nearly all zero
+                out.append(row(at, part, n, *packed(count, flat.view(np.uint8).reshape(-1, 4).T)))
+            if out:
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+
+    words = mapped(slices_of, split, PACKED).repartition(parts, "part")
+    found = mapped(words, encoded, PACKED)
 
     def fill(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        order = pc.sort_indices(right.column(1)) if right.num_rows else None
+        by_part = {p: (n, size, data) for p, n, size, data in zip(*(right.column(k).to_pylist() for k in range(1, 5)))}
         for docs in left.column(1):
             rows = opened(docs.as_buffer())
             data, offsets = buffers(rows.column(rows.schema.get_field_index(text)))
             starts, ends = encoder(path).split(data, offsets)
-            if len(starts):
-                first, number = distinct_spans(data, starts, ends)
-                edges = np.searchsorted(starts, offsets)
-                if right.num_rows != len(first):
-                    raise RuntimeError(f"a slice has {len(first)} words, the table gave {right.num_rows}")
-                ids, per = _laid(right.column(2).take(order), number, edges, pa.list_(pa.int32()))
-                back, size = _laid(right.column(3).take(order), number, edges, pa.binary())
-            else:
-                ids, per, back, size = np.zeros(0, np.int32), np.zeros(rows.num_rows, np.int64), np.zeros(0, np.uint8), np.zeros(rows.num_rows, np.int64)
-            out.append(run(rows, ids, per, back, size))
+            order, edges, number = dealt(data, starts, ends, parts)
+            sizes, pools = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for k in np.flatnonzero(np.diff(edges)).tolist():  # a partition that is not there is an error
+                size, planes = unpacked(*by_part[k], "u1")
+                sizes.append(size)
+                pools.append(np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel())
+            size, pool = np.concatenate(sizes), np.concatenate(pools)
+            each = size[number]
+            out.append(run(rows, ragged(pool, row_starts(size)[:-1][number], each), np.diff(row_starts(each)[np.searchsorted(starts, offsets)])))
         trim()
         return pa.Table.from_batches(out)
 
-    return parts.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(fill, schema)
-
-
-def _laid(column: pa.ChunkedArray, number: np.ndarray, edges: np.ndarray, kind: pa.DataType) -> tuple[np.ndarray, np.ndarray]:
-    """The values of words, one row of the column each, at the words' positions, and how many each text has."""
-    one = column.combine_chunks()
-    one = pa.concat_arrays(one.chunks) if isinstance(one, pa.ChunkedArray) else one
-    if pa.types.is_list(kind):
-        cuts, pool = one.offsets.to_numpy().astype(np.int64), one.values.to_numpy(zero_copy_only=False)
-    else:
-        one = one.cast(pa.large_binary())
-        cuts = np.frombuffer(one.buffers()[1], np.int64)[one.offset : one.offset + len(one) + 1]
-        pool = np.frombuffer(one.buffers()[2], np.uint8) if one.buffers()[2] is not None else np.zeros(0, np.uint8)
-    each = np.diff(cuts)[number]
-    return ragged(pool, cuts[:-1][number], each), np.diff(row_starts(each)[edges])
+    return slices_of.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(fill, schema)
 
 
 def _lists(ids: np.ndarray, per: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(row_starts(per), pa.int32()), pa.array(ids, pa.int32()))
 
 
-def _texts(back: np.ndarray, size: np.ndarray) -> Iterator[str]:
-    """Decoded texts; broken UTF-8 becomes U+FFFD."""
-    raw, cuts = back.tobytes(), row_starts(size).tolist()
-    return (raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:]))
-
-
 def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """df with a column of token ids (array<int>); an empty or null text has none."""
     names = [f.name for f in df.schema.fields if f.name != ids]
 
-    def run(rows, found, per, back, size):
+    def run(rows, found, per):
         return pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(n)) for n in names), _lists(found, per)], [*names, ids])
 
     return coded(df.select(*[f"`{n}`" for n in names]), path, text, run, typed(df, tuple(names), f"`{ids}` array<int>"))
@@ -364,10 +379,10 @@ def encode_checked(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """df with token_ids and round_trip (whether they decode to the text)."""
     names = [f.name for f in df.schema.fields if f.name not in ("token_ids", "round_trip")]
 
-    def run(rows, ids, per, back, size):
+    def run(rows, ids, per):
         data, offsets = buffers(rows.column(rows.schema.get_field_index(text)))
         raw, cuts = data.tobytes(), offsets.tolist()
-        same = [raw[x:y] == t.encode() for x, y, t in zip(cuts[:-1], cuts[1:], _texts(back, size))]
+        same = [raw[x:y] == t.encode() for x, y, t in zip(cuts[:-1], cuts[1:], encoder(path).decode(ids, per))]
         return pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(n)) for n in names), _lists(ids, per), pa.array(same, pa.bool_())], [*names, "token_ids", "round_trip"])
 
     return coded(df.select(*[f"`{n}`" for n in names]), path, text, run, typed(df, tuple(names), "token_ids array<int>, round_trip boolean"))
@@ -393,8 +408,8 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
     """(key, n_tokens, ids_sha256, decoded_sha256) of each row."""
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
-    def run(rows, ids, per, back, size):
-        found = [pa.array([sha(x) for x in encoder(path).decimal(ids, per)], pa.string()), pa.array([sha(x.encode()) for x in _texts(back, size)], pa.string())]
+    def run(rows, ids, per):
+        found = [pa.array([sha(x) for x in encoder(path).decimal(ids, per)], pa.string()), pa.array([sha(x.encode()) for x in encoder(path).decode(ids, per)], pa.string())]
         return pa.RecordBatch.from_arrays([rows.column(0), pa.array(per, pa.int64()), *found], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     named = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
