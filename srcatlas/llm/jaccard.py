@@ -20,8 +20,9 @@ order; fragments' partial overlaps are counted separately and summed per pair.
 3. Only fragments whose members are in several components are left; of fragments
    with the same members one is. Its members are cut into blocks of at most BLOCK
    sets that meet pairwise, those of a component that fills blocks of its own only
-   with the others. Block by block the order is cut into fragments, the partial
-   overlaps of all pairs in a fragment are counted, and the sums decide with
+   with the others. (Where the fragments that chain sets together overlap so much
+   that all these sets meet in fewer rows, the chain takes the fragments' place.)
+   Block by block the order is cut into fragments, the partial overlaps of all pairs in a fragment are counted, and the sums decide with
    integers. Only edges that connect the same sets leave a block pair, one per set.
 4. Components of the links; equal sets (same hash of the whole set) are one node.
 
@@ -334,9 +335,21 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     marked = written(in_common.select("k", "sig").join(joined, "sig", "left").join(sizes, "sig").select("k", "sig", F.coalesce("class", "sig").alias("class"), "n_shingles"), "marked")
     same = [F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y"), F.count("*").alias("m"), F.min("sig").alias("lo"), F.max("sig").alias("hi")]
     open_ = marked.groupBy("k").agg(*same, F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
-    open_ = written(open_.groupBy("x", "y", "m", "lo", "hi").agg(F.min("k").alias("k")).select("k", "m"), "open")
-    left = written(salted_join(marked, open_.select("k"), "k", hot_keys(open_, "k", "m")).withColumnRenamed("k", "grp"), "left")
-    second = _links(_met(left).join(members.select("sig", "grams"), "sig").select("grp", "i", "j", "side", "sig", "grams"), percent)
+    open_ = written(open_.groupBy("x", "y", "m", "lo", "hi").agg(F.min("k").alias("k")).select("k", "m", "lo"), "open")
+    left = written(salted_join(marked, open_.select("k", "lo"), "k", hot_keys(open_, "k", "m")), "left")
+    # where fragments overlap so much that all sets that they chain meet in fewer rows than fragment by fragment, these do
+    chains = written(components(left.where("sig <> lo").select(F.col("sig").alias("a"), F.col("lo").alias("b"))), "chains")
+    rows_of = lambda m: m * F.ceil(m / BLOCK)
+    together = chains.groupBy(F.col("component").alias("chain")).agg(F.count("*").alias("m"))
+    apart = open_.join(chains, open_["lo"] == chains["node"]).groupBy(F.col("component").alias("chain")).agg(F.sum(rows_of(F.col("m"))).alias("apart"))
+    whole = written(together.join(apart, "chain").where(rows_of(F.col("m")) <= F.col("apart")).select("chain", "m"), "whole")
+    of_chain = chains.select(F.col("node").alias("sig"), F.col("component").alias("chain"))
+    of_chain = salted_join(of_chain, whole.withColumn("_whole", F.lit(True)).drop("m"), "chain", hot_keys(whole, "chain", "m"), "left")
+    sets_of = written(left.select("sig", "class", "n_shingles").distinct().join(of_chain, "sig"), "chained")
+    by_chain = sets_of.where("_whole").select(F.col("chain").alias("grp"), "sig", "class", "n_shingles")
+    by_fragment = left.join(sets_of.where("_whole is null").select("sig"), "sig").select(F.col("k").alias("grp"), "sig", "class", "n_shingles")
+    met = _met(written(by_chain.unionByName(by_fragment), "meeting"))
+    second = _links(met.join(members.select("sig", "grams"), "sig").select("grp", "i", "j", "side", "sig", "grams"), percent)
 
     linked = components(first.unionByName(second)).select(F.col("node").alias("sig"), F.col("component").alias("class"))
     named = written(distinct.join(linked, "sig", "left").select("sig", "m", "least", F.coalesce("class", "sig").alias("class")), "named")
