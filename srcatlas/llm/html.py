@@ -1,23 +1,32 @@
 """Main text of web pages by a maximum-scoring subsequence of words and tags.
 
 A page becomes a sequence of words and tags. Words score positive and tags
-negative; one linear scan finds the contiguous region with the highest total,
-and the blocks of text within it, less those of elements that never hold an
-article (menus, forms, adverts, comments, ...), are the main text.
+negative; class and id names of the elements around words raise or lower their
+score. One linear scan finds the contiguous region with the highest total, and
+the blocks of text within it whose own words score positive are the main text.
+Elements whose tag or role says that they never hold an article (nav, aside,
+footer, form, hidden ones, ...) have no words at all.
 
 Weights are learned from labelled pages: pages whose <article> or <main> element
 marks the content, at most about SAMPLE of them. A kind of word or tag weighs the
 log ratio of its rates inside and outside, shrunk to the prior of its kind and
-held within its sign's limits. Every page is read whole.
+held within its sign's limits; so does each part of a name. A name weighs the mean
+of its parts (so that "layout-sidebar-right" says less than "sidebar"), an element
+the sum of its names. Names lower no words of an element that holds a headline
+(h1), an article or a main element: that is a wrapper, whatever it is called.
+Every page is read whole.
 
 null or empty html: an empty text. A page without words: an empty text. Ties
-go to the earlier, longer region. Rows repeat as they come.
+go to the earlier, longer region. Rows repeat as they come; null ids and urls stay.
+Pages of any length, depth and attribute length take linear time. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -30,149 +39,169 @@ from .shared import mapped, prepared, typed
 SAMPLE, TRUST = 2000, 500.0
 #: Limits and priors of weights.
 WORD, LINKED, TAG = (1.0, 3.0, 1.5), (-2.0, -0.5, -1.0), (-0.6, -0.05, -0.1)
-OUTSIDE_MAIN = -3.0
+OUTSIDE_MAIN, APART = -3.0, -0.1
+#: Limits and priors of parts of names that speak for content, against it, and of all others; limits of all names together.
+CONTENT, NOISE, OTHER, NAMES = (0.5, 3.0, 1.5), (-4.0, -2.0, -3.0), (-1.5, 1.0, 0.0), (-5.0, 1.5)
+#: Least words for which a part of a name that no prior knows gets a weight.
+SUPPORT = 200
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul video audio canvas".split()
 )
-_RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object canvas audio video head select datalist".split())
-_NEVER = frozenset("nav aside footer form dialog menu button search fieldset label".split())
+_RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg canvas audio video head select datalist".split())
+_NEVER = frozenset("nav aside footer form dialog menu button search fieldset label annotation annotation-xml".split())
+_INLINE = frozenset("a b i em strong span img u code input sup sub small".split())
 _ENDS_P = _BLOCK - {"br", "button", "iframe", "noscript", "object", "select", "textarea", "video", "audio", "canvas", "option", "template"}
 _SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
-_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social comment comments commentlist reply replies disqus discussion respond sidebar sidebars widget widgets related recommended recommendations menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar pagination pager login paywall teaser byline".split()
+#: Parts of class names and ids with a prior of their own.
+_FOR = frozenset("article content body post entry story main text".split())
+_AGAINST = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social comment comments commentlist reply replies disqus discussion respond sidebar sidebars widget widgets related recommended recommendations menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar pagination pager login paywall teaser byline header topbar".split()
 )
-_OUTER = frozenset("header topbar top head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _SKIP_BEFORE = frozenset("has with no without is".split())
-# a quoted value (after =) ends at its closing quote, however far; without one the quote is stray, and as no more of its
-# kind follow, a page is searched in vain at most once for each kind; quotes elsewhere pair up over 8192 characters at most
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|\"[^\"]{0,8192}\"|'[^']{0,8192}'|[\"'=])*+)(?:>|\Z)|[^<]+|<", re.S)
+# a quoted value (after =) ends at its closing quote, however far; a quote that nothing closes, or elsewhere, is stray
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+)(?:>|\Z)|[^<]+|<", re.S)
+_RAW_END = {t: re.compile(f"</{t}(?![^\\s/>])", re.I | re.A) for t in _RAW}
 _ATTR = re.compile(r"([a-zA-Z][\w:-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CAMEL = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _never(tag: str, attrs: str, in_main: bool) -> bool:
-    """Whether an element never holds a part of the article."""
+def name_parts(attrs: list[tuple[str, str]]) -> list[tuple[str, ...]]:
+    """The names of an element's class and id, each as its parts; names such as has-x and no-x say nothing of the element."""
+    out = []
+    for name, value in attrs:
+        if name in ("class", "id"):
+            for word in value.split():
+                parts = tuple(p.lower() for p in _CAMEL.split(word) if p)
+                if parts and parts[0] not in _SKIP_BEFORE:
+                    out.append(parts)
+    return out
+
+
+def never(tag: str, attrs: list[tuple[str, str]], in_main: bool) -> bool:
+    """Whether an element's tag, role or style says that it never holds a part of the article."""
     if tag in ("html", "body", "article", "main"):
         return False
     if tag in _NEVER or (tag == "header" and not in_main):
         return True
-    if not attrs or attrs.isspace():
-        return False
-    for m in _ATTR.finditer(attrs):
-        name = m[1].lower()
-        value = m[2] or m[3] or m[4] or ""
-        if name == "role" and value.lower() in _ROLES:
+    for name, value in attrs:
+        if (name == "role" and value.lower() in _ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
             return True
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-        if name in ("class", "id") and not tag.startswith("h"):
-            for word in value.split():
-                parts = [p.lower() for p in _CAMEL.split(word) if p]
-                if parts and parts[0] not in _SKIP_BEFORE and (not _NAMES.isdisjoint(parts) or (not in_main and not _OUTER.isdisjoint(parts[-1:]))):
-                    return True
     return False
 
 
-def parsed(page: str) -> tuple[list[tuple[str, int, int]], list[str], bool]:
-    """(events, texts of blocks, whether the page marks its content).
-
-    An event is (kind, number of words, block): kind "t:name" for a tag, "w:tag" and "l:tag" for words without and
-    within a link in a block of that tag, with "+" before it inside the marked content, "-" outside, and "x" for words that never count."""
-    events: list[tuple[str, int, int]] = []
-    blocks: list[str] = []
-    stack: list[tuple[str, bool]] = []  # (tag, never)
-    never = main = link = 0
-    marked, parts, runs = False, [], []
-    block_tag = "body"
-
-    def leave(k: int) -> None:
-        nonlocal never, main, link
-        while len(stack) > k:
-            tag, bad = stack.pop()
-            never -= bad
-            main -= tag in ("article", "main")
-            link -= tag == "a"
-
-    def flush() -> None:
-        nonlocal parts, runs
-        if parts:
-            text = "".join(parts)
-            text = " ".join((unescape(text) if "&" in text else text).split())
-            if text:
-                for kind, words in runs:
-                    events.append((kind, words, len(blocks)))
-                blocks.append(text)
-        parts, runs = [], []
+class Page:
+    """events, the texts of blocks, named elements, and whether the page marks its content.
 
-    at, size, lower = 0, len(page), None
-    while at < size:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            text = m[0]
-            if text[0] == "<" and len(text) > 1:
-                continue
-            if not never:
+    An event is (kind, number of words, block, named element): kind "t:name" for a tag, "w:tag" and "l:tag" for words
+    without and within a link in a block of that tag, with "+" before it inside the marked content, "-" outside. A named
+    element is [number of the named element around it or -1, its names, whether it holds a headline or the content]."""
+
+    def __init__(self, page: str):
+        self.events: list[tuple[str, int, int, int]] = []
+        self.blocks: list[str] = []
+        self.named: list[list] = []
+        self.marked = False
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        events, blocks = self.events, self.blocks
+        # open elements: (tag, never, and what held before it: block tag, place of the open p, named element)
+        stack: list[tuple[str, bool, str, int, int]] = []
+        opened: Counter = Counter()
+        bad = main = link = 0
+        parts, runs = [], []
+        block_tag, open_p, here = "body", -1, -1
+
+        def leave(k: int) -> None:
+            nonlocal bad, main, link, block_tag, open_p, here
+            while len(stack) > k:
+                tag, is_bad, block_tag, open_p, here = stack.pop()
+                opened[tag] -= 1
+                bad -= is_bad
+                main -= tag in ("article", "main")
+                link -= tag == "a"
+
+        def flush() -> None:
+            nonlocal parts, runs
+            if parts:
+                text = "".join(parts)
+                text = " ".join((unescape(text) if "&" in text else text).split())
+                if text:
+                    events.extend((kind, words, len(blocks), at_name) for kind, words, at_name in runs)
+                    blocks.append(text)
+            parts, runs = [], []
+
+        at, size = 0, len(page)
+        while at < size:
+            m = _TOKEN.match(page, at)
+            at = m.end()
+            tag = m[2]
+            if tag is None:
+                text = m[0]
+                if (text[0] == "<" and len(text) > 1) or bad:
+                    continue
                 parts.append(text)
                 words = len(text.split())
                 if words:
-                    runs.append((("+" if main else "-") + ("l:" if link else "w:") + block_tag, words))
-            else:
-                words = len(text.split())
-                if words:
-                    events.append(("x", words, -1))
-            continue
-        tag = tag.lower()
-        closing = m[1] == "/"
-        if tag in _RAW and not closing:
-            flush()
-            if tag == "head":
+                    runs.append((("+" if main else "-") + ("l:" if link else "w:") + block_tag, words, here))
                 continue
-            if lower is None:
-                lower = page.lower()
-            end = lower.find("</" + tag, at)
-            if m[3].endswith("/"):
+            tag = tag.lower()
+            closing, alone = m[1] == "/", m[3].endswith("/")
+            if tag in _RAW and not closing:
+                flush()
+                if tag != "head" and not alone:
+                    end = _RAW_END[tag].search(page, at)
+                    at = end.start() if end else size
+                    events.append(("t:raw", 1, -1, -1))
                 continue
-            at = size if end < 0 else end
-            events.append(("t:raw", 1, -1))
-            continue
-        if tag in _BLOCK:
-            flush()
-        events.append(("t:" + (tag if tag in _BLOCK or tag in ("a", "b", "i", "em", "strong", "span", "img", "u", "code", "input", "sup", "sub", "small") else "other"), 1, -1))
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    leave(k)
-                    break
-        elif tag not in _VOID and not m[3].endswith("/"):
-            if tag in _ENDS_P:
-                for k in range(len(stack) - 1, max(-1, len(stack) - 9), -1):
-                    if stack[k][0] == "p":
-                        leave(k)
-                        break
-                    if stack[k][0] in _BLOCK:
-                        break
+            if tag in _BLOCK:
+                flush()
+            events.append(("t:" + (tag if tag in _BLOCK or tag in _INLINE else "other"), 1, -1, -1))
+            if closing:
+                if opened[tag] > 0:
+                    leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
+                continue
+            if tag in ("h1", "article", "main") and not bad:
+                k = here
+                while k >= 0 and not self.named[k][2]:
+                    self.named[k][2] = True
+                    k = self.named[k][0]
+            if tag in _VOID or alone:
+                continue
+            if tag in _ENDS_P and open_p >= 0:
+                leave(open_p)
             for other in _SELF.get(tag, ()):
                 if stack and stack[-1][0] == other:
                     leave(len(stack) - 1)
-            bad = _never(tag, m[3], main > 0)
-            stack.append((tag, bad))
-            never += bad
+            attrs = [(a[1].lower(), a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3])] if m[3] and not m[3].isspace() else []
+            is_bad = never(tag, attrs, main > 0)
+            stack.append((tag, is_bad, block_tag, open_p, here))
+            opened[tag] += 1
+            bad += is_bad
             link += tag == "a"
             if tag in ("article", "main"):
                 main += 1
-                marked = True
-        if tag in _BLOCK:
-            block_tag = next((t for t, _ in reversed(stack) if t in _BLOCK), "body")
-    flush()
-    return events, blocks, marked
+                self.marked = True
+            if tag in _BLOCK:
+                block_tag, open_p = tag, len(stack) - 1 if tag == "p" else -1
+            names = name_parts(attrs) if attrs and tag not in ("html", "body") else []
+            if names:
+                self.named.append([here, names, tag in ("article", "main", "h1")])
+                here = len(self.named) - 1
+        flush()
+
+
+def parsed(page: str) -> Page:
+    return Page(page)
 
 
 def prior(kind: str) -> tuple[float, float, float]:
+    if kind[0] == "n":
+        return CONTENT if kind[2:] in _FOR else NOISE if kind[2:] in _AGAINST else OTHER
     return TAG if kind[0] == "t" else LINKED if kind[0] == "l" else WORD
 
 
@@ -180,7 +209,7 @@ class Weights:
     """Weight of each kind of word and tag, from counts (kind, inside, outside)."""
 
     def __init__(self, counts: list[tuple[str, float, float]]):
-        inside, outside = (max(sum(r[k] for r in counts), 1.0) for k in (1, 2))
+        inside, outside = (max(sum(r[k] for r in counts if r[0][0] in "wl"), 1.0) for k in (1, 2))
         self.of = {}
         for kind, a, b in counts:
             low, high, mid = prior(kind)
@@ -193,17 +222,36 @@ class Weights:
         return self.of.get(kind) if kind in self.of else prior(kind)[2]
 
 
-def region(events: list[tuple[str, int, int]], marked: bool, weights: Weights) -> tuple[int, int]:
-    """First and last block of the best contiguous region; (0, -1) if there is none."""
-    best, total, start, found = 0.0, 0.0, None, (0, -1)
-    for kind, n, block in events:
-        if kind == "x":
-            continue
+    def names(self, page: Page) -> list[float]:
+        """What the names of each named element and of those around it add to a word."""
+        out: list[float] = []
+        for around, names, wrapper in page.named:
+            own = sum(sum(self["n:" + p] for p in parts) / len(parts) for parts in names)
+            out.append((out[around] if around >= 0 else 0.0) + (max(own, 0.0) if wrapper else own))
+        return [min(NAMES[1], max(NAMES[0], x)) for x in out]
+
+
+def values(page: Page, weights: Weights) -> list[float]:
+    """The score of each event."""
+    names = weights.names(page)
+    out = []
+    for kind, n, _, named in page.events:
         if kind[0] == "t":
-            total += weights[kind]
+            out.append(weights[kind])
+        elif page.marked and kind[0] == "-":
+            out.append(OUTSIDE_MAIN * n)
         else:
-            each = OUTSIDE_MAIN if marked and kind[0] == "-" else weights[kind[1:]]
-            total += each * n
+            own = weights[kind[1:]]
+            # what names make negative is left out of the text, so it parts what is around it no more than tags do
+            out.append(max(own + names[named], min(own, APART)) * n if named >= 0 else own * n)
+    return out
+
+
+def region(events: list[tuple], scores: list[float]) -> tuple[int, int]:
+    """First and last block of the best contiguous region; (0, -1) if there is none."""
+    best, total, start, found = 0.0, 0.0, None, (0, -1)
+    for (_, _, block, *_), value in zip(events, scores):
+        total += value
         if total < 0:
             total, start = 0.0, None
         elif block >= 0:
@@ -214,13 +262,20 @@ def region(events: list[tuple[str, int, int]], marked: bool, weights: Weights) -
     return found
 
 
-def main_text(page: str | None, weights: Weights) -> str:
-    if not page:
+def main_text(html: str | None, weights: Weights) -> str:
+    if not html:
         return ""
-    events, blocks, marked = parsed(page)
-    a, b = region(events, marked, weights)
-    outside = {block for kind, _, block in events if marked and kind[0] == "-"}
-    return "\n".join(t for k, t in enumerate(blocks[a : b + 1], a) if k not in outside)
+    page = parsed(html)
+    scores = values(page, weights)
+    a, b = region(page.events, scores)
+    own = [0.0] * len(page.blocks)
+    names = weights.names(page)
+    for (kind, n, block, named), score in zip(page.events, scores):
+        if block >= 0:
+            # links lower a region, but a block of them within it is text like any other
+            inside = not page.marked or kind[0] == "+"
+            own[block] += (score if not inside else (WORD[2] + (names[named] if named >= 0 else 0.0)) * n)
+    return "\n".join(t for k, t in enumerate(page.blocks[a : b + 1], a) if own[k] > 0)
 
 
 def learn(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = SAMPLE) -> Weights:
@@ -228,32 +283,40 @@ def learn(pages: DataFrame, key: str = "page_id", html: str = "html", sample: in
     prepared(pages.sparkSession)
     total = max(1, pages.count())
     share = int(min(1.0, sample / total) * (1 << 30))
-    chosen = pages.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share) if share < 1 << 30 else pages
+    # by key and content, so that rows of one key (or of none) are not all in or all out
+    chosen = pages.where(F.pmod(F.xxhash64(key, html), F.lit(1 << 30)) < share) if share < 1 << 30 else pages
 
     def run(batches):
         for batch in batches:
             counts: dict[str, list[int]] = {}
-            for page in batch.column(0).to_pylist():
-                events, _, marked = parsed(page or "")
-                if not marked:
-                    continue
+            for html in batch.column(0).to_pylist():
+                page = parsed(html or "")
+                events = page.events
                 first = next((k for k, e in enumerate(events) if e[0][0] == "+"), None)
-                last = next((k for k in range(len(events) - 1, -1, -1) if events[k][0][0] == "+"), -1)
-                if first is None:
+                if not page.marked or first is None:
                     continue
-                for k, (kind, n, _) in enumerate(events):
-                    if kind != "x":
-                        side = kind[0] == "-" if kind[0] != "t" else not first <= k <= last
-                        counts.setdefault(kind.lstrip("+-"), [0, 0])[side] += n
+                last = next(k for k in range(len(events) - 1, -1, -1) if events[k][0][0] == "+")
+                for k, (kind, n, _, named) in enumerate(events):
+                    side = kind[0] == "-" if kind[0] != "t" else not first <= k <= last
+                    counts.setdefault(kind.lstrip("+-"), [0, 0])[side] += n
+                    seen: set[str] = set()
+                    while named >= 0:
+                        around, names, wrapper = page.named[named]
+                        if not wrapper:
+                            seen.update(p for parts in names for p in parts)
+                        named = around
+                    for p in seen:
+                        counts.setdefault("n:" + p, [0, 0])[side] += n
             if counts:
                 yield pa.RecordBatch.from_pydict({"kind": list(counts), "inside": pa.array([c[0] for c in counts.values()], pa.int64()), "outside": pa.array([c[1] for c in counts.values()], pa.int64())})
 
-    rows = mapped(chosen.select(html), run, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b")).orderBy("kind").collect()
+    rows = mapped(chosen.select(html), run, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"))
+    rows = rows.where(~F.col("kind").startswith("n:") | (F.col("a") + F.col("b") >= SUPPORT)).orderBy("kind").collect()
     return Weights([(r.kind, float(r.a), float(r.b)) for r in rows])
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), sample: int = SAMPLE) -> DataFrame:
-    """keep's columns with text and n_chars (code points) of every page."""
+    """keep's columns with text and n_chars (code points) of every page. Columns beyond these, whatever their names, play no part."""
     spark = pages.sparkSession
     prepared(spark)
     shared = spark.sparkContext.broadcast(learn(pages, key, html, sample))

@@ -518,13 +518,39 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_names_are_evidence_and_no_veto():
+    w, text = html.Weights([]), [prose(30, k) for k in range(3)]
+    body = f"<p>{text[0]}</p><p>{text[1]}</p>"
+    for name in ("article-share-enabled", "post social-sciences", "layout-sidebar-right", "content has-comments comments-open"):
+        assert html.main_text(f'<html><body><div class="{name}">{body}</div></body></html>', w) == "\n".join(text[:2]), name
+        assert html.main_text(f'<html><body><div class="{name}"><div class="sidebar">{text[2]}</div>{body}</div></body></html>', w) == "\n".join(text[:2]), name
+    # a wrapper of the headline or of the marked content, whatever it is called
+    assert html.main_text(f'<div class="sidebar"><h1>Head</h1>{body}</div>', w) == "\n".join(["Head", *text[:2]])
+    assert html.main_text(f'<div id="comments"><article class="ad">{body}<div class="share">Share it now</div></article></div>', w) == "\n".join(text[:2])
+    assert html.main_text(f'<div class="sidebar">{body}</div>', w) == ""
+    # names that no prior knows are learned
+    learned = html.Weights([("w:p", 5000, 5000), ("n:zzz", 0, 4000), ("n:qqq", 4000, 0)])
+    assert learned["n:zzz"] < -1 and learned["n:qqq"] > 0.4 and learned["n:other"] == 0.0
+
+
+def test_html_odd_pages():
+    w, text = html.Weights([]), prose(30, 1)
+    assert html.main_text("<script>" + "\u0130" * 40 + f"</SCRIPT ><p>{text}</p>", w) == text
+    assert html.main_text(f"<script>a</scripts></script><p>{text}</p>", w) == text
+    assert html.main_text(f"<p>{text} <math><mi>x</mi><mo>=</mo><annotation>tex</annotation></math> end</p><object>{text}</object>", w) == f"{text} x= end\n{text}"
+    # an open p ends at the next block, however many inline elements are open within it
+    deep = f"<p class='ad'>{'<b>' * 3000}bad<p>{text}</p>"
+    assert html.main_text(deep, w) == text
+    assert html.main_text("<div>" * 50_000 + f"<p>{text}</p>" + "</span>" * 50_000, w) == text
+
+
 def test_region_is_the_best_one():
     rng, w = random.Random(1), html.Weights([])
     for _ in range(50):
-        events = [("t:" + rng.choice(["p", "div", "a"]), 1, -1) if rng.random() < 0.5 else (rng.choice(["-w:p", "-l:li"]), rng.randint(1, 3), k) for k in range(14)]
-        value = [w[k] if k[0] == "t" else w[k[1:]] * n for k, n, _ in events]
+        events = [("t:" + rng.choice(["p", "div", "a"]), 1, -1, -1) if rng.random() < 0.5 else (rng.choice(["-w:p", "-l:li"]), rng.randint(1, 3), k, -1) for k in range(14)]
+        value = [w[k] if k[0] == "t" else w[k[1:]] * n for k, n, *_ in events]
         best = max([sum(value[a : b + 1]) for a in range(14) for b in range(a, 14)] + [0.0])
-        a, b = html.region(events, False, w)
+        a, b = html.region(events, value)
         got = max([sum(value[x : y + 1]) for x in range(14) for y in range(x, 14) if [e[2] for e in events[x : y + 1] if e[2] >= 0][:1] == [a] and [e[2] for e in events[x : y + 1] if e[2] >= 0][-1:] == [b]] + [0.0])
         assert abs(best - got) < 1e-9
 
