@@ -57,7 +57,8 @@ def chunk_files(parsed: DataFrame, settings: Settings | None = None) -> DataFram
     plain = F.transform(merged, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["names"].alias("names"), F.lit(False).alias("has_overlap")))
     cut = F.when(large & (F.size(merged) > 1), add_overlap(merged, s.chunk_overlap_lines)).otherwise(plain)
     parts = base.withColumn("_whole", whole).withColumn("_parts", F.when(F.col("_whole"), one).otherwise(cut)).withColumn("total_chunks", F.size("_parts"))
-    rows = parts.select("*", F.posexplode("_parts").alias("chunk_index", "_r"))
+    # outer: no file is without parts, and the filter that Spark puts before a plain explode would work all of them out again
+    rows = parts.select("*", F.posexplode_outer("_parts").alias("chunk_index", "_r"))
     body = F.array_join(F.slice("_lines", F.greatest(F.col("_r.start"), F.lit(1)), F.greatest(F.col("_r.end") - F.col("_r.start") + 1, F.lit(0))), "\n")
     above = F.when(F.col("chunk_index") > 0, header(path, F.col("package_name"), F.col("imports"))).otherwise("")
     return rows.select(

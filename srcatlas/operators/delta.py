@@ -12,8 +12,3 @@ def diff(current: DataFrame, stored: DataFrame, key: str = "file_path", value: s
     b = stored.select(key, F.col(value).alias("_old"), F.lit(True).alias("_then"))
     op = F.when(F.col("_then").isNull(), "add").when(F.col("_now").isNull(), "remove").when(~F.col("_new").eqNullSafe(F.col("_old")), "update").otherwise("keep")
     return a.join(b, key, "full_outer").select(key, op.alias("op"))
-
-
-def replaced(old: DataFrame, new: DataFrame, touched: DataFrame, key: str = "file_path") -> DataFrame:
-    """old without the touched keys, and new."""
-    return old.join(touched.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)

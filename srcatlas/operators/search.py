@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import paths, vectors
@@ -25,16 +31,41 @@ def knn(items: DataFrame, query: list[float], k: int, tiebreak: list[str], vecto
     return top.where(where) if where is not None and filter_mode == "post" else top
 
 
-def knn_batch(items: DataFrame, queries: DataFrame, k: int, tiebreak: list[str], vector: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", most_queries: int = 10_000, form: str = "l2_squared") -> DataFrame:
-    """The k nearest rows of each query. The query set is stated and counted: beyond most_queries it is an error,
-    as it is what every task holds."""
-    n = queries.count()
-    if n > most_queries:
-        raise ValueError(f"{n} queries; at most {most_queries} can be broadcast")
-    pairs = items.crossJoin(F.broadcast(queries.select(query_id, query_vector)))
-    scored = pairs.withColumn("score", vectors.distance(F.col(vector), F.col(query_vector), form))
+def knn_batch(items: DataFrame, queries: DataFrame, k: int, tiebreak: list[str], vector: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", block: int = 10_000, form: str = "l2_squared") -> DataFrame:
+    """items' columns with query_id, score and rank (1 to k) of the k rows nearest to each query; ties by tiebreak.
+
+    The stated query set meets all rows in blocks of about `block` queries, of which one at a time is broadcast. Each
+    batch of items keeps its k best rows (and all that tie with the last) for each query, so what is ranked is a few
+    rows per query and batch, never items x queries. Rows or queries without a vector meet nothing."""
+    schema = StructType([*queries.select(query_id).schema.fields, *items.schema.fields, StructField("score", DoubleType())])
+    n = max(1, -(-queries.count() // block))
+    asked = queries.where(F.col(query_vector).isNotNull())
+    parts = [_nearest(items, asked.where(F.pmod(F.xxhash64(query_id), F.lit(n)) == b), k, vector, query_id, query_vector, form, schema) for b in range(n)]
     order = Window.partitionBy(query_id).orderBy("score", *tiebreak)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop(query_vector)
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _nearest(items: DataFrame, asked: DataFrame, k: int, vector: str, query_id: str, query_vector: str, form: str, schema: StructType) -> DataFrame:
+    rows = asked.select(query_id, query_vector).toArrow()  # one block of the stated set
+    ids, matrix = rows.column(0), [np.asarray(v, np.float64) for v in rows.column(1).to_pylist()]
+    shared = items.sparkSession.sparkContext.broadcast(matrix)
+    at = items.columns.index(vector)
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(at)))
+            held = np.array(batch.column(at).to_pylist(), np.float64)
+            for q, wanted in enumerate(shared.value if batch.num_rows else ()):
+                score = ((held - wanted) ** 2).sum(axis=1)
+                if form != "l2_squared":
+                    score = np.sqrt(score)
+                last = np.partition(score, k - 1)[k - 1] if len(score) > k else np.inf
+                best = np.flatnonzero(score <= last)
+                taken = batch.take(pa.array(best))
+                own = pa.concat_arrays([ids.slice(q, 1).combine_chunks()] * len(best)) if len(best) else ids.slice(0, 0).combine_chunks()
+                yield pa.RecordBatch.from_arrays([own, *taken.columns, pa.array(score[best])], schema.fieldNames())
+
+    return items.mapInArrow(run, schema)
 
 
 def collapse_parallel(rows: DataFrame, symbol: Column, root: Column, order: list[Column], position: list[Column]) -> DataFrame:

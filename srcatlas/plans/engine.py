@@ -123,7 +123,7 @@ class Engine:
         name = path.rsplit("/", 1)[-1]
         if targets is None:
             return f"Cannot determine architectural role of: {name}"
-        listed = self.spark.createDataFrame([(p,) for p in tree.walk(self.settings.repo_path)], "file_path string")
+        listed = tree.read_tree(self.spark, self.settings.repo_path, names_only=True).select("file_path")
         rows = modules.siblings(listed, path, language).collect()
         suffix, base, _ = targets
         out = [f"## Siblings for: {name}", f"Base name: `{base}` | Role: `{suffix}`\n"]

@@ -63,6 +63,7 @@ class Index:
         extensions = self.platform()["extensions"]
         head, before = git.head(self.settings.repo_path), self.store.manifest()
         change = Change(head_changed=head != before["commit"])
+        # hashes of all files; the contents of those that changed are read again
         current = self.scoped(tree.with_hash(tree.read_tree(self.spark, self.settings.repo_path, extensions, only)))
         stored = self.store.read("registry")
         if only is not None:
@@ -72,29 +73,23 @@ class Index:
         change.added, change.updated, change.removed = (counts.get(k, 0) for k in ("add", "update", "remove"))
         if not change.any and before["version"]:
             if change.head_changed:
-                self._mark(commit=head)
+                self.store.mark(commit=head)
             return change
         touched = cut(ops.where("op <> 'keep'"), "touched")
         if context:
             change.context_changed = bool(touched.where(F.col("file_path").isin(context)).limit(1).count())
         fresh = current.join(touched.where("op <> 'remove'"), "file_path", "left_semi").select("file_path", "content_bytes", "content")
         parsed, chunks, registry = self.processed(cut(fresh, "fresh"))
-        old = {n: self.store.read(n) for n in ("parsed", "chunks", "registry")}
         new = {"parsed": parsed, "chunks": chunks, "registry": registry}
         failed = parsed.where("error is not null").select("file_path")
         # failures are few and kept by name, so that the next refresh tries them again
         change_failed = sorted(r.file_path for r in failed.collect())
         new["registry"] = registry.where(~F.col("file_path").isin(change_failed)) if change_failed else registry
         dirty = git.dirty(self.settings.repo_path, extensions, self.settings) if self.settings.reindex_dirty else []
-        self.store.commit({n: delta.replaced(old[n], new[n], touched) for n in new}, commit=head, dirty=dirty, failed=change_failed)
+        self.store.change(new, touched, commit=head, dirty=dirty, failed=change_failed)
         change.failed = len(change_failed)
         return change
 
-    def _mark(self, **marks) -> None:
-        import json
-
-        self.store.files.replace("manifest.json", json.dumps(self.store.manifest() | marks, indent=1))
-
     def ensure_fresh(self, context: list[str] | None = None) -> Change:
         """The cheapest refresh that git allows: nothing at the same commit with the same clean or dirty files, else
         the paths that changed, else all."""

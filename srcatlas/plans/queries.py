@@ -326,3 +326,6 @@ def distinct_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_LINKS + "select count(*) as edges, count(distinct page_id) as sources, count(distinct target) as targets from e")
 def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir).distinct().agg(F.count("*").alias("edges"), F.countDistinct("source").alias("sources"), F.countDistinct("target").alias("targets"))
+
+
+from . import code_queries  # noqa: E402, F401  adds its queries

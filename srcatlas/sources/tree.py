@@ -49,17 +49,24 @@ class TreeReader(DataSourceReader):
         self.root = options["path"]
         self.extensions = options.get("extensions", "").split(",") if options.get("extensions") else None
         self.only = json.loads(options["only"]) if options.get("only") else None
+        self.names_only = options.get("namesonly", "") == "true"
         self.per_part = int(options.get("filesperpartition", 256))
 
     def partitions(self) -> list[Part]:
-        found = list(walk(self.root, self.extensions))
-        if self.only is not None:
-            wanted = set(self.only)
-            found = [p for p in found if p in wanted]
+        # known paths are looked at one by one; only an unknown tree is walked
+        found = list(walk(self.root, self.extensions)) if self.only is None else sorted(p for p in set(self.only) if self._there(p))
         return [Part(found[k : k + self.per_part]) for k in range(0, len(found), self.per_part)] or [Part([])]
 
+    def _there(self, p: str) -> bool:
+        parts = p.split("/")
+        known = self.extensions is None or os.path.splitext(parts[-1])[1] in self.extensions
+        return known and ".." not in parts and PRUNED.isdisjoint(parts[:-1]) and os.path.isfile(os.path.join(self.root, p))
+
     def read(self, part: Part):
         for p in part.found:
+            if self.names_only:
+                yield p, None, None
+                continue
             try:
                 with open(os.path.join(self.root, p), "rb") as f:
                     raw = f.read()
@@ -82,10 +89,10 @@ class TreeSource(DataSource):
         return TreeReader(dict(self.options))
 
 
-def read_tree(spark: SparkSession, root: str, extensions: list[str] | None = None, only: list[str] | None = None, per_part: int = 256) -> DataFrame:
-    """files (file_path, content_bytes, content); only: relative paths to read, when they are known."""
+def read_tree(spark: SparkSession, root: str, extensions: list[str] | None = None, only: list[str] | None = None, per_part: int = 256, names_only: bool = False) -> DataFrame:
+    """files (file_path, content_bytes, content); only: relative paths to read, when they are known. names_only: no contents."""
     spark.dataSource.register(TreeSource)
-    reader = spark.read.format("source_tree").option("extensions", ",".join(extensions or [])).option("filesPerPartition", per_part)
+    reader = spark.read.format("source_tree").option("extensions", ",".join(extensions or [])).option("filesPerPartition", per_part).option("namesOnly", str(names_only).lower())
     if only is not None:
         reader = reader.option("only", json.dumps(sorted(only)))
     return reader.load(root)

@@ -21,16 +21,16 @@ def notices(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(NOTICES).json(folder)
 
 
-def keep_fresh(index: Index, changes: DataFrame, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:
-    """Refreshes the paths of every micro-batch that is there, then stops."""
-    unique = changes.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["file_path", "ts"])
+def keep_fresh(index: Index, changes: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Refreshes the paths of every micro-batch that is there, then stops. No notice is too late: there is no watermark,
+    and a micro-batch's paths are made distinct."""
 
     def run(batch: DataFrame, _: int) -> None:
         names = [r.file_path for r in batch.select("file_path").distinct().collect()]
         if names:
             index.refresh(sorted(names))
 
-    return unique.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def change_rates(changes: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
