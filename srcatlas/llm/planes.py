@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import encoder
-from .shared import fresh_path, mapped, prepared
+from .shared import fresh_path, mapped, opened_folder, prepared
 from .text import buffers, row_starts, slices
 
 MAGIC, BLOCK, LEVEL = b"IDPL1\n", 1 << 16, 3
@@ -151,12 +151,6 @@ class Reader:
         return out
 
 
-def _opened(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def write_ids(df: DataFrame, vocabulary: str, out: str, key: str = "doc_id", text: str = "text", end_id: int = 0, planes: str = "byte") -> DataFrame:
     """Encodes df's texts in ascending key order into files under out (a URI all machines see), an end id after
     each; returns the index table, which is also written to out/index."""
@@ -173,8 +167,7 @@ def write_ids(df: DataFrame, vocabulary: str, out: str, key: str = "doc_id", tex
             keys = batch.column(0).to_pylist()
             for a, b, d, o in slices(data, offsets):
                 if writer is None:
-                    system, base = _opened(files)
-                    system.create_dir(base, recursive=True)
+                    system, base = opened_folder(files)
                     name = f"{part:06d}-{uuid.uuid4().hex}.idpl"
                     stream = system.open_output_stream(f"{base}/{name}")
                     writer, n_docs = Writer(stream, planes), 0
@@ -204,7 +197,7 @@ def read_ids(spark: SparkSession, out: str, key: str = "doc_id") -> DataFrame:
     def run(batches):
         for batch in batches:
             for name, base in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                system, top = _opened(files)
+                system, top = opened_folder(files)
                 path = f"{top}/{name}"
                 with system.open_input_file(path) as source:
                     r = Reader(source, source.size())

@@ -71,6 +71,15 @@ def prepared(spark: SparkSession) -> None:
     sc.addPyFile(out)
 
 
+def opened_folder(path: str):
+    """(file system, path in it) of a folder that a task writes or reads files in by itself; it is there afterwards."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(path)
+    system.create_dir(base, recursive=True)
+    return system, base
+
+
 def trim() -> None:
     """Gives memory that a Python worker has freed back to the machine."""
     try:
