@@ -146,10 +146,10 @@ def test_lm_rows_do_not_depend_on_their_batch(spark):
 
 
 def test_lm_split_contexts_add_up(spark, monkeypatch):
-    # contexts of all words are split by the next word, or only those of the most common: the scores are the same
+    # contexts are split by the next word wherever a slice has them more than a few times, or hardly any: the scores are the same
     df = spark.createDataFrame([(k, prose(120, k % 30), "en", "a", 0) for k in range(60)], DOCS).repartition(3)
     a = {r.doc_id: r.score for r in lm.score(df).collect()}
-    monkeypatch.setattr(lm, "HOT", 1e-9)
+    monkeypatch.setattr(lm, "HOT", 1.0)  # where the driver selects them
     b = {r.doc_id: r.score for r in lm.score(df).collect()}
     assert all(abs(a[k] - b[k]) < 1e-6 for k in a)
 
@@ -171,7 +171,7 @@ def test_lm_decisions_by_brute_force():
     texts, held = [prose(40, k % 7) for k in range(12)], np.array([k % 5 == 1 for k in range(12)])
     t = lm.Tokens(pa.array(texts), held)
     numbers = np.argsort(np.argsort(-np.bincount(t.word[t.trained], minlength=len(t.words)), kind="stable"), kind="stable")
-    for hot in (np.zeros(0, np.uint64), t.words[:20]):
+    for hot in (np.zeros(0, np.uint64), np.unique(np.concatenate(t.contexts()))[::3]):
         asked = lm.Asked(t, hot)
         found = asked.answers(*lm.best_next(*asked.pairs(t, numbers), len(asked.keys)))
         tokens, seen, _ = brute_lm(texts, held)
