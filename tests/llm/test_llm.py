@@ -171,7 +171,7 @@ def test_lm_decisions_by_brute_force():
     texts, held = [prose(40, k % 7) for k in range(12)], np.array([k % 5 == 1 for k in range(12)])
     t = lm.Tokens(pa.array(texts), held)
     numbers = np.argsort(np.argsort(-np.bincount(t.word[t.trained], minlength=len(t.words)), kind="stable"), kind="stable")
-    for hot in (np.zeros(0, np.uint64), np.unique(np.concatenate(t.contexts()))[::3]):
+    for hot in (np.zeros(0, np.uint64), np.unique(np.concatenate([h for h, _ in t.contexts()]))[::3]):
         asked = lm.Asked(t, hot)
         found = asked.answers(*lm.best_next(*asked.pairs(t, numbers), len(asked.keys)))
         tokens, seen, _ = brute_lm(texts, held)
