@@ -39,7 +39,7 @@ from .shared import mapped, prepared, trim, typed
 from .text import blocks, buffers, distinct_spans, ragged, row_starts, slices, span_hashes
 
 #: Bytes of text in a slice (one longer text stands alone); bytes of words that a worker's own table holds before it starts anew.
-SLICE, HELD_BYTES = 8 << 20, 16 << 20
+SLICE, HELD_BYTES = 4 << 20, 16 << 20
 _SP, _LETTER, _NUMBER, _OTHER = range(4)
 
 
