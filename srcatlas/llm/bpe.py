@@ -38,7 +38,8 @@ from pyspark.sql.types import StructType
 from .shared import mapped, prepared, trim, typed
 from .text import blocks, buffers, distinct_spans, ragged, row_starts, slices, span_hashes
 
-#: Bytes of text in a slice (one longer text stands alone); bytes of words that a worker's own table holds before it starts anew.
+#: Bytes of text in a slice (one longer text stands alone); bytes of words and ids that a worker's
+#: own table holds before it starts anew.
 SLICE, HELD_BYTES = 4 << 20, 16 << 20
 _SP, _LETTER, _NUMBER, _OTHER = range(4)
 
@@ -112,14 +113,13 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(flag)
 
 
-def placed(values: list, number: np.ndarray, edges: np.ndarray, kind=np.int32) -> tuple[np.ndarray, np.ndarray]:
-    """The values of word number[0], number[1], ... one after the other, and how many each row has; edges: the first
-    word of each row, and the number of words."""
-    size = np.fromiter(map(len, values), np.int64, len(values))
-    pool = np.concatenate([np.asarray(v, kind) for v in values]) if len(values) < 64 else np.fromiter((i for x in values for i in x), kind, int(size.sum()))
+def placed(values: list[bytes], number: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids (as bytes) of word number[0], number[1], ... one after the other, and how many each row has; edges: the
+    first word of each row, and the number of words."""
+    size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    pool = np.frombuffer(b"".join(values), "<i4")
     each = size[number]
-    out = ragged(pool, row_starts(size)[:-1][number], each)
-    return out, np.diff(row_starts(each)[edges])
+    return ragged(pool, row_starts(size)[:-1][number], each), np.diff(row_starts(each)[edges])
 
 
 class Encoder:
@@ -133,6 +133,7 @@ class Encoder:
         self.tokenizer.no_padding()
         spec = json.loads(self.tokenizer.to_str())
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special_bytes = [x.encode() for x in self.special]
         self.reset()
         to_byte = _byte_of_char()
         self.char_of = {b: c for c, b in to_byte.items()}
@@ -149,12 +150,12 @@ class Encoder:
         self.digit_pool = np.frombuffer(b"".join(digits), np.uint8)
 
     def reset(self) -> None:
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
         self.held = 0
 
     def word(self, raw: bytes) -> list[int]:
         """Ids of one word, or of a whole text with special tokens."""
-        if any(x.encode() in raw for x in self.special):
+        if any(x in raw for x in self.special_bytes):
             return self.tokenizer.encode(raw.decode("utf-8"), add_special_tokens=False).ids
         return [t.id for t in self.tokenizer.model.tokenize(raw.decode("latin-1").translate(self.char_of))]
 
@@ -166,14 +167,13 @@ class Encoder:
         first, number = distinct_spans(data, starts, ends)
         if self.held > HELD_BYTES:
             self.reset()
-        raw, ids = data.tobytes(), []
-        for x, y in zip(starts[first].tolist(), ends[first].tolist()):
-            word = raw[x:y]
-            found = self.known.get(word)
+        raw, known = data.tobytes(), self.known
+        words = [raw[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist())]
+        ids = [known.get(w) for w in words]
+        for k, found in enumerate(ids):
             if found is None:
-                found = self.known[word] = self.word(word)
-                self.held += len(word) + 100
-            ids.append(found)
+                ids[k] = known[words[k]] = np.array(self.word(words[k]), "<i4").tobytes()
+                self.held += len(words[k]) + len(ids[k])
         return placed(ids, number, np.searchsorted(starts, offsets))
 
     def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

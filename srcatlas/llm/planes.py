@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import encoder
+from .bpe import SLICE, encoder
 from .shared import fresh_path, mapped, opened_folder, prepared
 from .text import buffers, row_starts, slices
 
@@ -165,7 +165,7 @@ def write_ids(df: DataFrame, vocabulary: str, out: str, key: str = "doc_id", tex
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             keys = batch.column(0).to_pylist()
-            for a, b, d, o in slices(data, offsets):
+            for a, b, d, o in slices(data, offsets, SLICE):
                 if writer is None:
                     system, base = opened_folder(files)
                     name = f"{part:06d}-{uuid.uuid4().hex}.idpl"
