@@ -615,6 +615,35 @@ def test_fingerprints(spark, docs, none):
     assert digest.fingerprints(docs.select("doc_id", "text")).count() == len(rows)
 
 
+def test_digests_by_brute_force(monkeypatch):
+    # triplets, quartiles and header worked out one by one
+    def brute(t):
+        raw, count = t.encode(), [0] * 128
+        for k in range(len(raw)):
+            for x, y, z, odd in ((0, 1, 2, 0x9E3779B1), (0, 1, 3, 0x85EBCA77), (0, 2, 3, 0xC2B2AE3D)):
+                if k + z < len(raw):
+                    h = (raw[k + x] + 256 * raw[k + y] + 65536 * raw[k + z]) * odd % 2**32
+                    h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+                    count[h >> 25] += 1
+        low, mid, high = (sorted(count)[q] for q in (31, 63, 95))
+        code = [sum(c > q for q in (low, mid, high)) for c in count]
+        body = [code[k] + 4 * code[k + 1] + 16 * code[k + 2] + 64 * code[k + 3] for k in range(0, 128, 4)]
+        size = min(int(np.floor(np.log(max(len(raw), 1)) / np.log(1.2))), 255)
+        return bytes([zlib.crc32(raw) % 256, size, low * 15 // max(high, 1), mid * 15 // max(high, 1), *body])
+
+    texts = ["", "a", "ab", "abc", "abcd", "É中😀", prose(5, 1), prose(300, 2), "x" * 5000]
+    for most in (digest.SLICE_BYTES, 100):  # also where a text is longer than a slice
+        monkeypatch.setattr(digest, "SLICE_BYTES", most)
+        assert [r.tobytes() for r in digest.of_texts(texts)] == [brute(t) for t in texts]
+    a, b = digest.of_texts([prose(200, 1), prose(200, 2)])
+    far = int(a[0] != b[0]) + (lambda d: d if d <= 1 else min(2 * d, 40))(abs(int(a[1]) - int(b[1]))) + sum(min(2 * abs(int(x) - int(y)), 12) for x, y in zip(a[2:4], b[2:4]))
+    for x, y in zip(a[4:].tolist(), b[4:].tolist()):
+        for k in (0, 2, 4, 6):
+            d = abs((x >> k & 3) - (y >> k & 3))
+            far += 6 if d == 3 else d
+    assert abs(digest.likeness(a[None], b[None])[0] - max(0.0, 1 - far / 240)) < 1e-12
+
+
 def test_likeness_falls_with_edits():
     a = prose(500, 1)
     words = a.split()
