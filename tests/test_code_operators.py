@@ -287,3 +287,19 @@ def test_embedding(spark):
     v = [r[0] for r in df.select(embed.embedding(F.col("t"), lambda: embed.hashed_ngrams(16), batch=2)).collect()]
     assert v[0] == v[3] and abs(sum(x * x for x in v[0]) - 1) < 1e-6 and set(v[1]) == set(v[2]) == {0.0}
     assert len(embed.embed_query("find it", lambda: embed.hashed_ngrams(16))) == 16
+
+
+def test_package_references_without_pairs(spark):
+    """Counts, firsts and orders taken per package are those of all pairs, with files that are alone, that import themselves
+    or that import a file both by name and by wildcard."""
+    rows, role = [], "service"
+    for k in range(24):
+        package = f"p{k % 3}" if k < 22 else f"alone{k}"
+        imports = [(f"p{(k + 1) % 3}", True)] * (k % 3 + (k == 5)) + [("p0.S0", False), (f"p{(k * 5) % 22 % 3}.S{(k * 5) % 22}", False)] + ([("p0", True)] if k % 4 == 0 else [])
+        rows.append((f"f{k:02}.kt", package, [f"S{k}"], [f"S{k}"], ["S1"] if k % 2 else [], imports, role if k % 7 else None))
+    files = spark.createDataFrame(rows, "file_path string, package string, symbols array<string>, type_symbols array<string>, supertypes array<string>, imports array<struct<path:string,is_wildcard:boolean>>, role string")
+    index = references.SymbolIndex(files)
+    listed = lambda df: sorted(map(tuple, df.collect()))
+    edges = references.import_targets(index, files)
+    assert listed(references.import_fan_in(index, files)) == listed(references.count_fan_in(edges))
+    pairs = references.sibling_targets(index, files)
