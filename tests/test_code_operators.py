@@ -301,5 +301,6 @@ def test_package_references_without_pairs(spark):
     index = references.SymbolIndex(files)
     listed = lambda df: sorted(map(tuple, df.collect()))
     edges = references.import_targets(index, files)
+    assert listed(references.import_counts(index, files).select("source", "target", "n")) == listed(edges.groupBy("source", "target").count())
     assert listed(references.import_fan_in(index, files)) == listed(references.count_fan_in(edges))
     pairs = references.sibling_targets(index, files)
