@@ -304,3 +304,4 @@ def test_package_references_without_pairs(spark):
     assert listed(references.import_counts(index, files).select("source", "target", "n")) == listed(edges.groupBy("source", "target").count())
     assert listed(references.import_fan_in(index, files)) == listed(references.count_fan_in(edges))
     pairs = references.sibling_targets(index, files)
+    assert listed(references.sibling_counts(index, files)) == listed(pairs.groupBy("source").agg(F.count("*"), F.min("target")))
