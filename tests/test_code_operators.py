@@ -305,3 +305,8 @@ def test_package_references_without_pairs(spark):
     assert listed(references.import_fan_in(index, files)) == listed(references.count_fan_in(edges))
     pairs = references.sibling_targets(index, files)
     assert listed(references.sibling_counts(index, files)) == listed(pairs.groupBy("source").agg(F.count("*"), F.min("target")))
+    frontier = spark.createDataFrame([(f"f{k:02}.kt", k + 1) for k in (4, 5, 8, 9, 13, 22)], "node string, ordinal int")
+    models = files.join(frontier.withColumnRenamed("node", "file_path"), "file_path")
+    every = edges.unionByName(references.supertype_targets(index, files)).unionByName(pairs).join(frontier.withColumnRenamed("node", "source"), "source").join(frontier.select(F.col("node").alias("target")), "target", "left_anti")
+    reached = references.first_reached(index, models).join(frontier.select(F.col("node").alias("target")), "target", "left_anti")
+    assert listed(reached.groupBy("target").agg(F.min("source_order"))) == listed(every.groupBy("target").agg(F.min("ordinal")))
