@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import paths
 from ..functions import text as T
-from ..lang.lexer import tokens
+from ..lang.lexer import braces
 
 # Limits of the extraction.
 WHOLE_LINES, METHOD_LINES, TOTAL_LINES, FALLBACK_LINES, LINE_WIDTH = 200, 40, 100, 40, 80
@@ -28,14 +28,12 @@ def block_ends(lines: list[str], anchors: list[int], interpolation: str = "${")
     so those in strings, character literals and comments are none."""
     opened: list[int] = []
     pairs: list[list[int]] = []  # [line of the opener, line of its closer], by opener
-    for t in tokens("\n".join(lines), interpolation):
-        if t.kind != "mark":
-            continue
-        if t.text == "{":
+    for brace, line in braces("\n".join(lines), interpolation):
+        if brace == "{":
             opened.append(len(pairs))
-            pairs.append([t.line, -1])
-        elif t.text == "}" and opened:
-            pairs[opened.pop()][1] = t.line
+            pairs.append([line, -1])
+        elif opened:
+            pairs[opened.pop()][1] = line
     starts = [a for a, _ in pairs]
     out = []
     for anchor in anchors:
@@ -45,12 +43,6 @@ def block_ends(lines: list[str], anchors: list[int], interpolation: str = "${")
     return out
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _block_ends(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for lines, anchors, interpolation in batches:
-        yield pd.Series([block_ends(list(x), [int(a) for a in s], i) for x, s, i in zip(lines, anchors, interpolation)])
-
-
 def join_near(spans: Column, gap: int = 2) -> Column:
     """Spans (s, e) in order, joined while the next starts at most `gap` after the end so far."""
     far = lambda acc, r: (F.size(acc) == 0) | (r["s"] > F.element_at(acc, -1)["e"] + gap)
@@ -69,22 +61,47 @@ def within_budget(spans: Column, most: int) -> Column:
     return F.aggregate(spans, start, step, lambda acc: acc["out"])
 
 
+def shortened(lines: list[str], anchor: re.Pattern, interpolation: str, max_method_lines: int, max_total_lines: int) -> str:
+    """The first methods and types of a long file within the budget; its first lines where it has none."""
+    anchors = [k for k, x in enumerate(lines) if anchor.match(x)]
+    if not anchors:
+        return "\n".join(lines[:max_total_lines])
+    kept: list[list[int]] = []  # [first line, last line], joined while the next starts at most 2 after the end so far
+    used = 0
+    for a, e in zip(anchors, block_ends(lines, anchors, interpolation)):
+        e = min(e, a + max_method_lines - 1)
+        used += e - a + 1
+        if used > max_total_lines:  # nothing after the first that does not fit comes in
+            break
+        if kept and a <= kept[-1][1] + 2:
+            kept[-1][1] = max(kept[-1][1], e)
+        else:
+            kept.append([a, e])
+    return f"\n{T.TRUNCATED}\n\n".join("\n".join(lines[a : e + 1]) for a, e in kept)
+
+
 def extract(files: DataFrame, max_method_lines: int = METHOD_LINES, max_total_lines: int = TOTAL_LINES) -> DataFrame:
     """files (file_path, content) with `extract`: short files whole, long ones as their first methods and types
-    within the budget, with a mark where lines are left out."""
-    ext = paths.extension(F.col("file_path"))
-    kotlin, swift = ext.isin(".kt", ".kts"), ext == ".swift"
-    base = files.withColumn("_lines", T.lines(F.col("content")))
-    is_anchor = lambda x: (kotlin & x.rlike(KOTLIN_ANCHOR)) | (swift & x.rlike(SWIFT_ANCHOR))
-    spots = F.filter(F.transform("_lines", lambda x, i: F.when(is_anchor(x), i)), lambda i: i.isNotNull())
-    long = base.where(F.size("_lines") > WHOLE_LINES).withColumn("_anchors", spots)
-    short = base.where(F.size("_lines") <= WHOLE_LINES).select(*files.columns, F.col("content").alias("extract"))
-    other = long.where(~kotlin & ~swift).select(*files.columns, F.substring("content", 1, max_total_lines * LINE_WIDTH).alias("extract"))
-    code = long.where(kotlin | swift)
-    plain = code.where(F.size("_anchors") == 0).select(*files.columns, F.array_join(F.slice("_lines", 1, max_total_lines), "\n").alias("extract"))
-    ends = code.where(F.size("_anchors") > 0).withColumn("_ends", _block_ends("_lines", "_anchors", F.when(swift, "\\(").otherwise("${")))
-    spans = F.zip_with("_anchors", "_ends", lambda a, e: F.struct(a.alias("s"), F.least(e, a + (max_method_lines - 1)).alias("e")))
-    merged = join_near(within_budget(spans, max_total_lines))
-    body = F.array_join(F.transform(merged, lambda r: F.array_join(F.slice("_lines", r["s"] + 1, r["e"] - r["s"] + 1), "\n")), f"\n{T.TRUNCATED}\n\n")
-    methods = ends.select(*files.columns, body.alias("extract"))
-    return short.unionByName(other).unionByName(plain).unionByName(methods)
+    within the budget, with a mark where lines are left out. Files without content are left out."""
+    names = files.columns
+
+    def run(batches):
+        kotlin, swift = re.compile(KOTLIN_ANCHOR, re.ASCII), re.compile(SWIFT_ANCHOR, re.ASCII)
+        for batch in batches:
+            out = []
+            for content, ext in zip(batch.column("content").to_pylist(), batch.column("_ext").to_pylist()):
+                lines = content.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+                if not lines[-1]:
+                    lines.pop()
+                if len(lines) <= WHOLE_LINES:
+                    out.append(content)
+                elif ext in (".kt", ".kts"):
+                    out.append(shortened(lines, kotlin, "${", max_method_lines, max_total_lines))
+                elif ext == ".swift":
+                    out.append(shortened(lines, swift, "\\(", max_method_lines, max_total_lines))
+                else:
+                    out.append(content[: max_total_lines * LINE_WIDTH])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.string())], [*names, "extract"])
+
+    schema = StructType([*files.schema.fields, StructField("extract", StringType())])
+    return files.where("content is not null").withColumn("_ext", paths.extension(F.col("file_path"))).mapInArrow(run, schema)
