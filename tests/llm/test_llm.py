@@ -662,3 +662,18 @@ def test_bucket_counts_of_long_rows(monkeypatch):
     whole = digest.bucket_counts(data, offsets)
     monkeypatch.setattr(digest, "SLICE_BYTES", 64)
     assert (digest.bucket_counts(data, offsets) == whole).all() and whole[1].sum() == 0
+
+
+def test_lm_hash_partitions_follow_the_slices(spark, monkeypatch):
+    """Where the session's shuffle partitions are few, hash partitions are not: a task holds one of them."""
+    from srcatlas.llm import lm
+
+    seen, real, before = [], lm.known_words, spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(lm, "known_words", lambda files, folder, parts: (seen.append(parts), real(files, folder, parts))[1])
+    docs = spark.range(60).selectExpr("id as doc_id", "concat('w', id % 7, ' a b') as text").repartition(12)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        assert lm.score(docs).count() == 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] >= 12
