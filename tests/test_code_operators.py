@@ -310,3 +310,22 @@ def test_package_references_without_pairs(spark):
     every = edges.unionByName(references.supertype_targets(index, files)).unionByName(pairs).join(frontier.withColumnRenamed("node", "source"), "source").join(frontier.select(F.col("node").alias("target")), "target", "left_anti")
     reached = references.first_reached(index, models).join(frontier.select(F.col("node").alias("target")), "target", "left_anti")
     assert listed(reached.groupBy("target").agg(F.min("source_order"))) == listed(every.groupBy("target").agg(F.min("ordinal")))
+
+
+def test_import_pairs_send_few_copies(spark, monkeypatch):
+    """Each file is sent once for every block that it meets: blocks grow with the pairs up to a bound, and results stay whole."""
+    monkeypatch.setattr(references, "_BLOCK", 2)
+    monkeypatch.setattr(references, "_MOST", 8, raising=False)
+    sent, frame = [], type(spark.range(0))
+    real = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *by: (sent.append(self) if by == ("package", "a", "b") else None, real(self, n, *by))[1])
+    kinds = "array(named_struct('path', 'p', 'is_wildcard', true), named_struct('path', concat('p.T', id % 5), 'is_wildcard', false))"
+    sources = spark.range(64).selectExpr("concat('s', id) as file_path", "'q' as package", f"{kinds} as imports", "'service' as role", "array(concat('S', id)) as symbols")
+    targets = spark.range(64).selectExpr("concat('t', id) as file_path", "'p' as package", "cast(array() as array<struct<path: string, is_wildcard: boolean>>) as imports", "'service' as role", "array(concat('T', id)) as symbols")
+    files = sources.unionByName(targets)
+    index = references.SymbolIndex(files)
+    listed = lambda df: sorted(map(tuple, df.collect()))
+    found = listed(references.import_counts(index, files).select("source", "target", "n"))
+    assert found == listed(references.import_targets(index, files).groupBy("source", "target").count())
+    assert len(found) == 64 * 64 and sum(r[2] for r in found) == 64 * 65
+    assert sent[0].selectExpr("sum(size(sources) + size(targets))").first()[0] <= 64 * 64 * 2 / 4
