@@ -677,3 +677,15 @@ def test_lm_hash_partitions_follow_the_slices(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen[0] >= 12
+
+
+def test_lm_slices_bound_their_rows(spark, monkeypatch):
+    """Short and empty texts do not make slices of more rows than a worker holds, and no row is lost or scored otherwise."""
+    docs = spark.range(100).selectExpr("id as doc_id", "case when id % 3 = 0 then '' else concat('w', id % 7, ' a b') end as text").coalesce(1)
+    listed = lambda df: sorted(map(tuple, df.collect()))
+    whole, seen, real = listed(lm.score(docs)), [], lm.known_words
+    monkeypatch.setattr(lm, "MOST_ROWS", 8, raising=False)
+    monkeypatch.setattr(lm, "known_words", lambda files, folder, parts: (seen.extend(lm.opened(folder, r["file"])[0].num_rows for r in files.collect()), real(files, folder, parts))[1])
+    found = listed(lm.score(docs))
+    assert max(seen) <= 8 and sum(seen) == 100
+    assert [r[:5] for r in found] == [r[:5] for r in whole] and np.allclose([r[5:8] for r in found], [r[5:8] for r in whole])
